@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.vectors import squared_distance
+from tidemark.functions.vectors import dot, squared_distance
 from tidemark.operators.encoding import exact_quantiles
 
 SNAP = 0.1  # centre coordinates closer to 0 than this are moved to +-0.1
@@ -27,7 +27,8 @@ def centre_vector(train: DataFrame, vector: str) -> DataFrame:
 
 def centre_distance(df: DataFrame, vector: str, centre: DataFrame, name: str = "dist") -> DataFrame:
     """Add the squared distance to the centre (one vector, a scalar subquery)."""
-    return df.withColumn(name, squared_distance(F.col(vector).cast("array<double>"), centre.scalar()))
+    held = df.withColumn("_centre", centre.scalar())
+    return held.withColumn(name, squared_distance(F.col(vector).cast("array<double>"), F.col("_centre"))).drop("_centre")
 
 
 def radius_quantile(distances: DataFrame, nu: float, dist: str = "dist") -> DataFrame:
@@ -102,5 +103,5 @@ def ocsvm_rff(
     averaged = train.select(mapped.alias("z")).agg(
         F.array(*[F.avg(F.col("z")[i]) for i in range(n_features)]).alias("mean")
     )
-    similar = F.zip_with(mapped, averaged.scalar(), lambda a, b: a * b)
-    return test.withColumn("score", -F.aggregate(similar, F.lit(0.0), lambda s, v: s + v))
+    held = test.withColumn("_mean", averaged.scalar()).withColumn("_z", mapped)
+    return held.withColumn("score", -dot(F.col("_z"), F.col("_mean"))).drop("_z", "_mean")

@@ -120,17 +120,16 @@ def knn_join(
     visited = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def blocks(rows_in_cell):
-        return F.array(*[F.lit(max(1, -(-int(n) // block_rows))) for n in rows_in_cell])
+        return F.array(*[F.lit(max(1, -(-int(n) // block_rows))).cast("long") for n in rows_in_cell])
+
+    def upto(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
     t_blocks = F.get(blocks(count), F.col("cell"))
     q_blocks = F.get(blocks([visited.get(c, 0) for c in range(len(centres))]), F.col("cell"))
     spread = F.xxhash64("id")
-    left = visits.withColumn("qb", F.pmod(spread, q_blocks)).withColumn(
-        "tb", F.explode(F.sequence(F.lit(0), t_blocks - 1)).cast("long")
-    )
-    right = cells.select("id", "vec", "cell").withColumn("tb", F.pmod(spread, t_blocks)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), q_blocks - 1)).cast("long")
-    )
+    left = visits.withColumn("qb", F.pmod(spread, q_blocks)).withColumn("tb", upto(t_blocks))
+    right = cells.select("id", "vec", "cell").withColumn("tb", F.pmod(spread, t_blocks)).withColumn("qb", upto(q_blocks))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
