@@ -86,10 +86,10 @@ def curve_metrics(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def eval_grid(scored: DataFrame, by: Sequence[str], score="score", label="label") -> DataFrame:
+def eval_grid(scored: DataFrame, by: Sequence[str], score="score", label="label", weight=None) -> DataFrame:
     """(by..., metric, value) for every group in one job."""
     clean = scored.withColumn(score, nan_to_num(F.col(score)))
-    wide = curve_metrics(cum_confusion(clean, by, score, label), by)
+    wide = curve_metrics(cum_confusion(clean, by, score, label, weight), by)
     return wide.unpivot(list(by), list(METRICS), "metric", "value")
 
 

@@ -75,9 +75,12 @@ def tokenize_columns(df: DataFrame, columns: Sequence[str], vocab: DataFrame, bl
     return out.withColumn("attention_mask", attention_mask(F.col("input_ids")))
 
 
-def tokenize_text(df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame, block: int) -> DataFrame:
-    """(key..., input_ids, attention_mask) for free text: the first ``block`` words, padded."""
-    kept = F.slice(words(F.col(text)), 1, block)
+def tokenize_sentences(df: DataFrame, key: Sequence[str], sentence: str, vocab: DataFrame, block: int) -> DataFrame:
+    """(key..., input_ids, attention_mask) for sentences of any number of words.
+
+    ``block`` is the fixed length of a token row, so longer sentences are cut there.
+    """
+    kept = F.slice(words(F.col(sentence)), 1, block)
     cells = df.select(*key, F.posexplode_outer(kept).alias("pos", "token"))
     found = vocab_lookup(cells, "token", vocab, "id")
     rows = found.groupBy(*key).agg(

@@ -1,4 +1,4 @@
 """All registered queries: importing the plan modules fills the registry."""
 
-from tidemark.plans import detect, encode, evaluate, prepare  # noqa: F401
+from tidemark.plans import detect, encode, evaluate, language, prepare, streams  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
