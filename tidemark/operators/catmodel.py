@@ -96,7 +96,7 @@ class CountModel:
         self.sizes = {r["ci"]: r["v"] for r in sizes}
 
     def conditional(self, weigh: Callable[[Column, Column, Column], Column], sentences: DataFrame, key: str) -> DataFrame:
-        """(key, p): map from ``i * d + j`` to p(column j's token | column i's token).
+        """(key, p): list of p(column j's token | column i's token) over i <> j, by i then j.
 
         ``sentences`` has one row per distinct sentence; ``weigh`` turns the yearly counts
         of the pair, those of the condition and the vocabulary size into a probability.
@@ -119,7 +119,8 @@ class CountModel:
         sizes = F.array(*[F.lit(float(self.sizes.get(j, 1))) for j in range(d)])
         p = weigh(F.coalesce("n_ij", none), F.coalesce("n_i", none), F.get(sizes, F.col("cj")))
         entry = F.struct((F.col("ci") * d + F.col("cj")).alias("k"), p.alias("p"))
-        return long.groupBy(key, *carried).agg(F.map_from_entries(F.collect_list(entry)).alias("p"))
+        rows = long.groupBy(key, *carried).agg(F.array_sort(F.collect_list(entry)).alias("p"))  # d * (d - 1) entries
+        return rows.withColumn("p", F.transform("p", lambda e: e["p"]))
 
 
 def _total(a: Column) -> Column:
@@ -174,16 +175,24 @@ def lm_anomaly_score(model_p: DataFrame, key: str, d: int, seed, sentence: str =
     from the columns that the same trial leaves visible.
     """
     p = F.col("p")
+    every = F.sequence(F.lit(0), F.lit(d - 1))
 
-    def trial_mean(t):
-        masked = masked_positions(F.col(sentence), F.lit(d), t, seed)
-        visible = F.array_except(F.sequence(F.lit(0), F.lit(d - 1)), masked)
+    def probability(i, j):  # position of (i, j), i <> j, in the row-major list without the diagonal
+        return F.get(p, i * (d - 1) + j - F.when(j > i, 1).otherwise(0))
+
+    def trial_mean(trial):
         probs = F.transform(
-            masked, lambda j: _total(F.transform(visible, lambda i: F.element_at(p, i * d + j))) / F.size(visible)
+            trial["masked"],
+            lambda j: _total(F.transform(trial["visible"], lambda i: probability(i, j))) / F.size(trial["visible"]),
         )
-        return _total(probs) / F.size(masked)
+        return _total(probs) / F.size(trial["masked"])
 
-    means = F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), trial_mean)
+    # each step is one array, so that masks are drawn once and not once per use
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: masked_positions(F.col(sentence), F.lit(d), t, seed)
+    )
+    sides = F.transform(drawn, lambda m: F.struct(m.alias("masked"), F.array_except(every, m).alias("visible")))
+    means = F.transform(sides, trial_mean)
     return model_p.withColumn("score", F.lit(1.0) - _total(means) / F.lit(float(trials))).drop("p")
 
 
