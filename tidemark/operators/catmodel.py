@@ -96,7 +96,7 @@ class CountModel:
         self.sizes = {r["ci"]: r["v"] for r in sizes}
 
     def conditional(self, weigh: Callable[[Column, Column, Column], Column], sentences: DataFrame, key: str) -> DataFrame:
-        """(key, p): list of p(column j's token | column i's token) over i <> j, by i then j.
+        """(key, p): entries p(column j's token | column i's token) over i <> j, by i then j.
 
         ``sentences`` has one row per distinct sentence; ``weigh`` turns the yearly counts
         of the pair, those of the condition and the vocabulary size into a probability.
@@ -119,8 +119,7 @@ class CountModel:
         sizes = F.array(*[F.lit(float(self.sizes.get(j, 1))) for j in range(d)])
         p = weigh(F.coalesce("n_ij", none), F.coalesce("n_i", none), F.get(sizes, F.col("cj")))
         entry = F.struct((F.col("ci") * d + F.col("cj")).alias("k"), p.alias("p"))
-        rows = long.groupBy(key, *carried).agg(F.array_sort(F.collect_list(entry)).alias("p"))  # d * (d - 1) entries
-        return rows.withColumn("p", F.transform("p", lambda e: e["p"]))
+        return long.groupBy(key, *carried).agg(F.array_sort(F.collect_list(entry)).alias("p"))  # d * (d - 1) entries
 
 
 def _total(a: Column) -> Column:
@@ -178,7 +177,7 @@ def lm_anomaly_score(model_p: DataFrame, key: str, d: int, seed, sentence: str =
     every = F.sequence(F.lit(0), F.lit(d - 1))
 
     def probability(i, j):  # position of (i, j), i <> j, in the row-major list without the diagonal
-        return F.get(p, i * (d - 1) + j - F.when(j > i, 1).otherwise(0))
+        return F.get(p, i * (d - 1) + j - F.when(j > i, 1).otherwise(0))["p"]
 
     def trial_mean(trial):
         probs = F.transform(

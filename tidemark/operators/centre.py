@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.vectors import dot, squared_distance
+from tidemark.functions.vectors import squared_distance
 from tidemark.operators.encoding import exact_quantiles
 
 SNAP = 0.1  # centre coordinates closer to 0 than this are moved to +-0.1
@@ -77,18 +79,17 @@ def _uniform(seed, *parts) -> float:
     return (int(digest[:8], 16) + 0.5) / 4294967296.0
 
 
-def fourier_features(columns: Sequence[str], n_features: int, gamma: float, seed) -> Column:
-    """Array of ``sqrt(2/D) cos(w.x + b)`` whose dot products approximate exp(-gamma |x-y|^2)."""
-    terms = []
-    for f in range(n_features):
-        weights = []
-        for j in range(len(columns)):
-            u, v = _uniform(seed, f, j, "u"), _uniform(seed, f, j, "v")
-            weights.append(math.sqrt(2.0 * gamma) * math.sqrt(-2.0 * math.log(u)) * math.cos(2.0 * math.pi * v))
-        shift = 2.0 * math.pi * _uniform(seed, f, "b")
-        inner = " + ".join(f"{w!r}D * `{c}`" for w, c in zip(weights, columns))
-        terms.append(f"{math.sqrt(2.0 / n_features)!r}D * cos({inner} + {shift!r}D)")
-    return F.expr("array(" + ", ".join(terms) + ")")
+def fourier_weights(d: int, n_features: int, gamma: float, seed) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded (d, D) directions and D shifts of random features for exp(-gamma |x-y|^2)."""
+    normal = [
+        [
+            math.sqrt(-2.0 * math.log(_uniform(seed, f, j, "u"))) * math.cos(2.0 * math.pi * _uniform(seed, f, j, "v"))
+            for f in range(n_features)
+        ]
+        for j in range(d)
+    ]
+    shifts = [2.0 * math.pi * _uniform(seed, f, "b") for f in range(n_features)]
+    return math.sqrt(2.0 * gamma) * np.array(normal), np.array(shifts)
 
 
 def ocsvm_rff(
@@ -96,12 +97,28 @@ def ocsvm_rff(
 ) -> DataFrame:
     """Add ``score``: minus the mean kernel similarity to the train rows (gamma = 1/d).
 
-    The whole train table enters through one mean feature vector, a single aggregate.
+    The train table enters through the mean of its random features: every Arrow batch
+    gives one partial sum, and the sums (D numbers) are added up on Spark.
     """
-    gamma = 1.0 / len(columns)
-    mapped = fourier_features(columns, n_features, gamma, seed)
-    averaged = train.select(mapped.alias("z")).agg(
-        F.array(*[F.avg(F.col("z")[i]) for i in range(n_features)]).alias("mean")
-    )
-    held = test.withColumn("_mean", averaged.scalar()).withColumn("_z", mapped)
-    return held.withColumn("score", -dot(F.col("_z"), F.col("_mean"))).drop("_z", "_mean")
+    columns = list(columns)
+    directions, shifts = fourier_weights(len(columns), n_features, 1.0 / len(columns), seed)
+    scale = math.sqrt(2.0 / n_features)
+
+    def features(parts: Sequence[pd.Series]) -> np.ndarray:
+        x = np.column_stack([p.to_numpy(float) for p in parts])
+        return scale * np.cos(x @ directions + shifts)
+
+    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"n": [len(pdf)], "z": [features([pdf[c] for c in columns]).sum(0)]})
+
+    sums = train.select(*columns).mapInPandas(partial_sums, "n long, z array<double>")
+    total = sums.agg(F.sum("n").alias("n"), *[F.sum(F.get("z", F.lit(i))).alias(f"z{i}") for i in range(n_features)]).first()
+    mean = np.array([total[f"z{i}"] for i in range(n_features)]) / total["n"]
+
+    @F.pandas_udf("double")
+    def similarity(*parts: pd.Series) -> pd.Series:
+        return pd.Series(features(parts) @ mean)
+
+    return test.withColumn("score", -similarity(*columns))

@@ -51,16 +51,23 @@ def fit_forest(
 ) -> DataFrame:
     """(tree, node, feature, threshold, path, size): at most ``trees * 2 * sample`` rows.
 
-    A pool of at most ``trees * sample`` rows is drawn by hash from all train rows; each
-    tree takes its ``sample`` rows from the pool.
+    A pool of at most ``trees * sample`` rows is drawn by hash from all train rows and put
+    in hash order; tree t takes the ``sample`` rows from place ``t * sample`` on, going round
+    if the pool is smaller than that. A large table gives every tree rows of its own.
     """
     columns = list(columns)
     quota = F.least(F.col("n"), F.lit(trees * sample))
-    pool = keep_lowest(train, [], quota, seeded_hash(seed, key), F.col(copy) if copy else None)
-    pool = pool.select(key, *([copy] if copy else []), *columns)
-    numbered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = W.partitionBy("tree").orderBy(seeded_hash(seed, "tree", key), *([copy] if copy else []))
-    drawn = numbered.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= sample)
+    order = seeded_hash(seed, key)
+    pool = keep_lowest(train, [], quota, order, F.col(copy) if copy else None)
+    place = F.row_number().over(W.orderBy(order, *([copy] if copy else []))) - 1  # at most trees * sample rows
+    placed = pool.select(*columns, place.alias("_r"))
+    size = placed.agg(F.count(F.lit(1))).first()[0]
+    if not size:
+        raise ValueError("no train rows")
+    mine = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("_r") - t * sample, F.lit(size)) < sample
+    )
+    drawn = placed.withColumn("tree", F.explode(mine))
     height = max(1, math.ceil(math.log2(sample)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +76,7 @@ def fit_forest(
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path", "size"])
 
     schema = "tree int, node int, feature int, threshold double, path double, size int"
-    return drawn.select("tree", "_r", *columns).groupBy("tree").applyInPandas(grow, schema)
+    return drawn.groupBy("tree").applyInPandas(grow, schema)
 
 
 def forest_score(

@@ -184,7 +184,7 @@ def skew_join(
     """
     keys = list(keys)
     spark = rows.sparkSession
-    if table.count() <= 100_000:  # staged: read from file footers; Spark will broadcast it
+    if table.count() <= 20_000:  # counted from file footers; small enough for Spark to broadcast
         return join_same(rows, table, keys, "left")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.bins import log_bin
 from tidemark.functions.hashing import physical_id
 from tidemark.functions.labels import recode_label
+from tidemark.operators.ordering import skew_join
 from tidemark.operators.sampling import HOLDOUT_SEED, mark_holdout
 from tidemark.sources.staging import new_path
 from tidemark.spec import FeatureSpec, SplitProtocol
@@ -39,9 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lazy flow view; ``row_key`` spells out the whole row, ``copy_id`` tells copies apart."""
     items = table(spark, sf_dir, "lineitem").withColumn("copy_id", physical_id())
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     price = F.col("l_extendedprice")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    return skew_join(items, parts, ["l_partkey"], ["copy_id"]).filter("p_type IS NOT NULL").select(
         F.concat_ws(
             "|",
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.bins import log_bin
+from tidemark.functions.hashing import physical_id
 from tidemark.functions.labels import anomaly_kind, class_sets, is_outlier, one_vs_rest, recode_label
 from tidemark.functions.text import concat_timestamp, split_fields
 from tidemark.operators import rows, sampling
-from tidemark.operators.ordering import join_same
+from tidemark.operators.ordering import join_same, skew_join
 from tidemark.plans.flow import flow, flow_path, flow_rows, labelled, table, testing
 from tidemark.plans.registry import EDGES, query, with_flow
 from tidemark.sources import sinks, tables
@@ -51,7 +52,8 @@ WITH raw AS (SELECT l.*, p.p_type, CAST(year(l_shipdate) AS INTEGER) AS year, CA
 
 def raw_lines(spark, sf_dir) -> DataFrame:
     """Flow rows written out as tab-separated log lines (22 fields), with year and month."""
-    items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    items = table(spark, sf_dir, "lineitem").withColumn("copy_id", physical_id())
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     blank = F.lit("0")
     fields = [
@@ -61,7 +63,7 @@ def raw_lines(spark, sf_dir) -> DataFrame:
         F.col("l_linenumber").cast("string"), blank, F.date_format("l_shipdate", "yyyy-MM-dd"),
         F.when(F.col("l_linestatus") == "O", "tcp").otherwise("udp"),
     ]
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    return skew_join(items, parts, ["l_partkey"], ["copy_id"]).filter("p_type IS NOT NULL").select(
         F.concat_ws("\t", *fields).alias("value"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")
     )
 
