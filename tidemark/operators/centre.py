@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.vectors import squared_distance
+from tidemark.functions.vectors import dot, squared_distance
 from tidemark.operators.encoding import exact_quantiles
 
 SNAP = 0.1  # centre coordinates closer to 0 than this are moved to +-0.1
@@ -61,17 +61,40 @@ def svdd_objective(train: DataFrame, vector: str, nu: float) -> DataFrame:
     )
 
 
-def pca_reconstruction(train: DataFrame, test: DataFrame, vector: str, k: int) -> DataFrame:
-    """Add ``score``: squared error of reconstructing (centred) rows from k components."""
+def vector_std_params(train: DataFrame, vector: str) -> DataFrame:
+    """One row, ``params``: mean and population deviation per position (0 replaced by 1)."""
     dense = array_to_vector(F.col(vector).cast("array<double>"))
-    model = PCA(k=k, inputCol="_x", outputCol="_z").fit(train.select(dense.alias("_x")))
-    scored = model.transform(test.withColumn("_x", dense)).withColumn("_x", F.col(vector).cast("array<double>"))
-    zero = F.transform("_x", lambda _: F.lit(0.0))
-    codes = vector_to_array("_z")
-    none = F.transform(codes, lambda _: F.lit(0.0))
+    found = train.select(Summarizer.metrics("mean", "variance", "count").summary(dense).alias("s"))
+    n = F.col("s.count")
+    spread = F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return found.select(
+        F.struct(
+            vector_to_array("s.mean").alias("mean"),
+            F.transform(spread, lambda d: F.when(d == 0, F.lit(1.0)).otherwise(d)).alias("std"),
+        ).alias("params")
+    )
+
+
+def standardise_vector(df: DataFrame, vector: str, params: DataFrame) -> DataFrame:
+    held = df.withColumn("_p", params.scalar())
+    moved = F.zip_with(F.col(vector).cast("array<double>"), F.col("_p.mean"), lambda x, m: x - m)
+    return held.withColumn(vector, F.zip_with(moved, F.col("_p.std"), lambda x, s: x / s)).drop("_p")
+
+
+def pca_reconstruction(train: DataFrame, test: DataFrame, vector: str, k: int) -> DataFrame:
+    """Add ``score``: squared error of rebuilding a standardised row from ``k`` components."""
+    params = vector_std_params(train, vector)
+    dense = array_to_vector(F.col("_x"))
+
+    def standard(df):
+        scaled = standardise_vector(df.withColumn("_x", F.col(vector)), "_x", params)
+        return scaled.withColumn("_v", dense)
+
+    model = PCA(k=k, inputCol="_v", outputCol="_z").fit(standard(train).select("_v"))
+    coded = model.transform(standard(test)).withColumn("_z", vector_to_array("_z"))
     # the components are orthonormal, so the error is |x|^2 - |code|^2
-    error = squared_distance(F.col("_x"), zero) - squared_distance(codes, none)
-    return scored.withColumn("score", F.greatest(error, F.lit(0.0))).drop("_x", "_z")
+    error = dot(F.col("_x"), F.col("_x")) - dot(F.col("_z"), F.col("_z"))
+    return coded.withColumn("score", F.greatest(error, F.lit(0.0))).drop("_x", "_v", "_z")
 
 
 def _uniform(seed, *parts) -> float:
