@@ -143,16 +143,18 @@ def mark_lowest(
 ) -> DataFrame:
     """Add a boolean: is the row among the ``quota`` lowest hashes of its group?"""
     group = list(group)
-    keys = group
-    if not keys:
-        df, keys, totals_by = df.withColumn("_all", F.lit(1)), ["_all"], ["_all"]
-    cuts = hash_cut(df, keys, quota, order, copy, totals_by).select(*keys, "cut", "copy_cut")
     hashed = df.withColumn("_h", order).withColumn("_c", copy if copy is not None else F.lit(""))
-    hashed = join_same(hashed, cuts, keys, "left")
+    if group:
+        cuts = hash_cut(df, group, quota, order, copy, totals_by).select(*group, "cut", "copy_cut")
+        hashed = join_same(hashed, cuts, group, "left")
+    else:  # one group: its single cut is a scalar, not a join
+        cuts = hash_cut(df.withColumn("_all", F.lit(1)), ["_all"], quota, order, copy)
+        hashed = hashed.withColumn("_cut", cuts.select(F.struct("cut", "copy_cut")).scalar())
+        hashed = hashed.select("*", "_cut.cut", "_cut.copy_cut").drop("_cut")
     below = (F.col("_h") < F.col("cut")) | (
         (F.col("_h") == F.col("cut")) & (F.col("copy_cut").isNull() | (F.col("_c") <= F.col("copy_cut")))
     )
-    return hashed.withColumn(name, F.coalesce(below, F.lit(False))).drop("_h", "_c", "cut", "copy_cut", "_all")
+    return hashed.withColumn(name, F.coalesce(below, F.lit(False))).drop("_h", "_c", "cut", "copy_cut")
 
 
 def keep_lowest(df, group, quota, order, copy=None, totals_by=None) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.hashing import seeded_hash
-from tidemark.operators.ordering import hash_positions, keep_lowest, mark_lowest
+from tidemark.operators.ordering import hash_positions, join_same, keep_lowest, mark_lowest
 
 HOLDOUT_SEED = 10
 
@@ -97,7 +97,9 @@ def batch_numbers(
     placed = placed.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("long"))
     if not skip_tail:
         return placed
-    sizes = df.groupBy(*by).agg(F.greatest(F.floor(F.count(F.lit(1)) / size) - 1, F.lit(1)).alias("_steps"))
-    from tidemark.operators.ordering import join_same
-
-    return join_same(placed, sizes, list(by)).filter(F.col("batch") < F.col("_steps")).drop("_steps")
+    steps = F.greatest(F.floor(F.count(F.lit(1)) / size) - 1, F.lit(1)).alias("_steps")
+    if by:
+        placed = join_same(placed, df.groupBy(*by).agg(steps), list(by))
+    else:
+        placed = placed.withColumn("_steps", df.agg(steps).scalar())
+    return placed.filter(F.col("batch") < F.col("_steps")).drop("_steps")
