@@ -112,9 +112,9 @@ class CountModel:
             if i != j
         ]
         carried = [c for c in sentences.columns if c not in self.columns and c != key]
-        long = sentences.select(key, *carried, F.inline(F.array(*cells)))
-        long = skew_join(long, self.pairs, ["ci", "vi", "cj", "vj"], [key])
-        long = skew_join(long, self.singles, ["ci", "vi"], [key])
+        spelled = sentences.select(key, *carried, F.inline(F.array(*cells)))
+        long = skew_join(spelled, self.pairs, ["ci", "vi", "cj", "vj"], [key], counted=spelled)
+        long = skew_join(long, self.singles, ["ci", "vi"], [key], counted=spelled)
         none = F.array_repeat(F.lit(0.0), len(self.years))
         sizes = F.array(*[F.lit(float(self.sizes.get(j, 1))) for j in range(d)])
         p = weigh(F.coalesce("n_ij", none), F.coalesce("n_i", none), F.get(sizes, F.col("cj")))

@@ -100,24 +100,35 @@ def knn_join(
     near_reach = np.array([r["reach"] for r in inner])
     between = _distances(centres, centres)
 
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cells_to_visit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs that the distance bounds cannot rule out."""
+        d = _distances(_matrix(pdf["vec"]), centres)
+        upper = d[:, near_cell] + near_reach[None, :]
+        enough = upper.shape[1] >= need
+        bound = np.partition(upper, need - 1, axis=1)[:, need - 1] if enough else np.full(len(d), np.inf)
+        own = d.argmin(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d**2 - d.min(1)[:, None] ** 2) / (2.0 * between[own])
+        lower = np.maximum(d - radius[None, :], np.where(between[own] > 0, plane, 0.0))
+        return np.nonzero((lower <= bound[:, None] * (1 + 1e-9) + 1e-6) & (count > 0)[None, :])
+
+    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["vec"]), centres)
-            upper = d[:, near_cell] + near_reach[None, :]
-            kth = min(need, upper.shape[1]) - 1
-            bound = np.partition(upper, kth, axis=1)[:, kth] if upper.shape[1] >= need else np.full(len(d), np.inf)
-            own = d.argmin(1)
-            lower = d - radius[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d**2 - d.min(1)[:, None] ** 2) / (2.0 * between[own])
-            lower = np.maximum(lower, np.where(between[own] > 0, plane, 0.0))
-            r, c = np.nonzero((lower <= bound[:, None] * (1 + 1e-9) + 1e-6) & (count > 0)[None, :])
-            yield pd.DataFrame({"id": pdf["id"].values[r], "vec": pdf["vec"].values[r], "cell": c.astype("int32")})
-
-    visits = stage(queries.mapInPandas(to_visits, f"id {id_type}, vec array<double>, cell int"), "visits")
-    visited = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+            if len(pdf):
+                n = np.bincount(cells_to_visit(pdf)[1], minlength=len(centres))
+                yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
+
+    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                pdf = batch.iloc[start : start + 1024]
+                r, c = cells_to_visit(pdf)
+                yield pd.DataFrame({"id": pdf["id"].values[r], "vec": pdf["vec"].values[r], "cell": c.astype("int32")})
+
+    # counted first and found again below: cheaper than writing every visit with its vector
+    per_cell = queries.mapInPandas(count_visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    visited = {r["cell"]: r["n"] for r in per_cell.collect()}
+    visits = queries.mapInPandas(to_visits, f"id {id_type}, vec array<double>, cell int")
 
     def blocks(rows_in_cell):
         return F.array(*[F.lit(max(1, -(-int(n) // block_rows))).cast("long") for n in rows_in_cell])

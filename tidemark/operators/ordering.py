@@ -176,20 +176,27 @@ def hash_positions(
 
 
 def skew_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], salt_on: Sequence[str], share: int = 1000
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    salt_on: Sequence[str],
+    counted: DataFrame | None = None,
+    share: int = 1000,
 ) -> DataFrame:
     """Left join to a table with one row per key, with frequent keys salted.
 
     A key is frequent if it holds more than 1/``share`` of the rows, so there are
     fewer than ``share`` of them. Their table rows are repeated once per salt and the
-    matching rows are spread over the salts by a hash of ``salt_on``.
+    matching rows are spread over the salts by a hash of ``salt_on``. Keys are counted in
+    ``counted`` (default ``rows``), so a chain of joins need not be run again to count.
     """
     keys = list(keys)
     spark = rows.sparkSession
     if table.count() <= 20_000:  # counted from file footers; small enough for Spark to broadcast
         return join_same(rows, table, keys, "left")
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fan = F.ceil(F.lit(parts) * F.col("_n") / F.lit(max(total, 1))).cast("int") + 1
     hot = stage(counts.filter(F.col("_n") * share > total).select(*keys, fan.alias("_fan")), "hot")
