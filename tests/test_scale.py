@@ -39,6 +39,13 @@ def test_quota_inside_a_group_of_copies(spark, quota):
     assert got == hashes[:quota]
 
 
+def test_quota_among_indistinct_rows_raises(spark):
+    df = spark.createDataFrame([("same",)] * 30, "k string")
+    with pytest.raises(ValueError, match="equal keys"):
+        keep_lowest(df, [], F.lit(7), F.md5("k"))
+    assert keep_lowest(df, [], F.lit(30), F.md5("k")).count() == 30
+
+
 def test_shuffle_numbers_copies_apart(spark):
     df = spark.createDataFrame([("same", f"{i:016x}") for i in range(500)], "row_key string, copy_id string")
     assert sorted(r["position"] for r in shuffle_rows(df, 1).collect()) == list(range(1, 501))

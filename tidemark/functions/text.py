@@ -13,8 +13,7 @@ UNK_ID, PAD_ID, MASK_ID = 0, 1, 2
 
 RAW_FIELDS = 18
 
-# The Unicode white-space characters.
-BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+BLANKS = r"(?U)\s+"  # any run of Unicode white space
 
 
 def row_to_sentence(columns: Sequence[str]) -> Column:
@@ -23,7 +22,7 @@ def row_to_sentence(columns: Sequence[str]) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Whitespace-separated words, without empty ones."""
+    """White-space separated words, without empty ones."""
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 

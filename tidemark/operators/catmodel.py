@@ -21,6 +21,7 @@ TRIALS = 15
 ALPHA = 1.0  # add-one smoothing
 TEMPERATURE = 4.0
 TEACHER_WEIGHT = 0.9
+MAX_YEARS = 200
 
 
 def masked_positions(sentence: Column, length: Column, trial: Column, seed, share: float = MASK_SHARE) -> Column:
@@ -84,7 +85,9 @@ class CountModel:
         self.columns = list(columns)
         counts = stage(pair_counts(train, columns, [year]), "pair_counts")
         if years is None:
-            years = [r[0] for r in counts.select(year).distinct().limit(200).collect()]
+            years = [r[0] for r in counts.select(year).distinct().limit(MAX_YEARS + 1).collect()]
+            if len(years) > MAX_YEARS:
+                raise ValueError(f"more than {MAX_YEARS} distinct values of {year}: not a column of years")
         self.years = sorted(years)
         per_year = F.array(
             *[F.coalesce(F.sum(F.when(F.col(year) == y, F.col("n"))), F.lit(0)).cast("double") for y in self.years]

@@ -88,6 +88,8 @@ def hash_cut(
     if not split.isEmpty():
         tied = join_same(rows, split, [*group, "_h"]).select(*group, "_c", "need")
         inner = _prefix_cut(tied, group, "_c", F.col("need"), group, carry="need")
+        if not inner.filter("need < copies").isEmpty():
+            raise ValueError("the quota ends among rows with equal keys: give a copy id that tells them apart")
         cut = join_same(cut, inner.select(*group, F.col("cut").alias("copy_cut")), group, "left")
     else:
         cut = cut.withColumn("copy_cut", F.lit(None).cast("string"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tidemark.functions.text import MASK, PAD, SPECIALS, UNK, UNK_ID, attention_mask, pad_to_block, words
+from tidemark.functions.text import BLANKS, MASK, PAD, SPECIALS, UNK, UNK_ID, attention_mask, pad_to_block, words
 from tidemark.operators.ordering import join_same
 
 # Fixed values of the log format: service words and connection flags, in id order.
@@ -39,9 +39,14 @@ def vocab_generate(spark: SparkSession, bins: int = 233) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
 
 
+def word_rows(df: DataFrame, text: str) -> DataFrame:
+    """One row per word of the whole text; empty words are filtered after the explode."""
+    return df.select(F.explode(F.split(F.col(text), BLANKS)).alias("token")).filter("token <> ''")
+
+
 def vocab_train(df: DataFrame, text: str, size: int = VOCAB_LIMIT) -> DataFrame:
     """(token, id, n): specials first, then the most frequent words (ties by word)."""
-    counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = word_rows(df, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.filter(~F.col("token").isin(*TRAINED_SPECIALS))
     top = counts.orderBy(F.desc("n"), "token").limit(size - len(TRAINED_SPECIALS))
     place = F.row_number().over(W.orderBy(F.desc("n"), "token"))  # at most `size` rows
@@ -53,7 +58,7 @@ def vocab_train(df: DataFrame, text: str, size: int = VOCAB_LIMIT) -> DataFrame:
 
 
 def vocab_size(df: DataFrame, text: str) -> DataFrame:
-    return df.select(F.explode(words(F.col(text))).alias("token")).agg(F.count_distinct("token").alias("n_tokens"))
+    return word_rows(df, text).distinct().agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 def vocab_lookup(df: DataFrame, column: str, vocab: DataFrame, name: str, unknown: int = UNK_ID) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.text import BLANKS, row_to_sentence
+from tidemark.functions.text import row_to_sentence
 from tidemark.operators import catmodel, metrics, tokens
 from tidemark.operators.encoding import long_form
 from tidemark.plans.evaluate import rounded
@@ -100,6 +100,8 @@ def row_sentences(spark, sf_dir):
 
 # --- counted vocabularies --------------------------------------------------------------
 
+# the Unicode white-space characters, for a regular-expression engine without a class for them
+BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 WORDS_SQL = f"""WITH w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '{BLANKS}')) AS token FROM documents)
   WHERE token <> '' AND token NOT IN ('[PAD]', '[UNK]', '[MASK]') GROUP BY 1),
 top AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 2 AS id FROM w),
