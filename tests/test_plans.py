@@ -48,3 +48,13 @@ def test_metrics_read_only_label_and_score(spark):
     rows = flows.testing(flows.flow(spark, SF_DIR)).selectExpr("year", "label", "num_price AS score", "row_key")
     text = plan(metrics.class_counts(rows))
     assert "row_key" not in text.split("ReadSchema")[1]
+
+
+def test_splits_are_chosen_by_folder(spark):
+    base = flows.flow(spark, SF_DIR)
+    for rows, years in ((flows.training(base), range(1995, 1999)), (flows.testing(base), range(1995, 2002))):
+        scan = plan(rows.select("num_tax"))
+        assert re.search(r"PartitionFilters: \[[^\]]*part", scan) and "split" not in scan
+        assert {r["year"] for r in rows.select("year").distinct().collect()} == set(years)
+    assert flows.training(base).filter("split <> 'TRAIN'").isEmpty()
+    assert flows.testing(base).count() == base.filter("split <> 'TRAIN'").count()

@@ -91,10 +91,11 @@ def labelled(df: DataFrame) -> DataFrame:
 
 
 def training(df: DataFrame) -> DataFrame:
-    """Inlier rows of the training split."""
-    return labelled(df).filter((F.col("split") == "TRAIN") & (F.col("label") == 0))
+    """Inlier rows of the training split, chosen by folder (year, part) before any row is read."""
+    return labelled(df).filter(PROTOCOL.trained(F.col("year"), F.col("part")) & (F.col("label") == 0))
 
 
 def testing(df: DataFrame) -> DataFrame:
-    """All rows of the IID, NEAR and FAR splits."""
-    return labelled(df).filter(F.col("split").isin("IID", "NEAR", "FAR"))
+    """All rows of the IID, NEAR and FAR splits, chosen by folder."""
+    known = F.col("year") >= PROTOCOL.train_first
+    return labelled(df).filter(known & ~PROTOCOL.trained(F.col("year"), F.col("part")))

@@ -51,6 +51,10 @@ class SplitProtocol:
     train_last: int = 2010
     near_last: int = 2013
 
+    def trained(self, year: Column, part: Column) -> Column:
+        """Is the row in the training split?"""
+        return year.between(self.train_first, self.train_last) & (part == "train")
+
     def column(self, year: Column, part: Column) -> Column:
         trained = year.between(self.train_first, self.train_last)
         return (
