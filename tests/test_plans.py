@@ -12,6 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")  # filters in full
     return df._jdf.queryExecution().executedPlan().toString()
 
 
