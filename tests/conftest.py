@@ -17,7 +17,14 @@ def spark():
 
 @pytest.fixture
 def partitions(spark):
-    """Set the number of shuffle partitions for one test."""
+    """Set the exact number of shuffle partitions for one test."""
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+
+    def fix(n):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set(merging, "false")
+
+    yield fix
     spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set(merging, "true")

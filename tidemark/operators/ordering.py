@@ -37,8 +37,8 @@ def running_totals(
     ``all_<c>``. Rows are range-partitioned into slices and written once; slice
     totals (slices + groups rows) give each slice its offset.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(slices, *[F.col(g) for g in group], F.col(order))
+    # no fixed number: adaptive execution may merge neighbouring slices, which keeps their order
+    cut = df.repartitionByRange(*[F.col(g) for g in group], F.col(order))
     cut = stage(cut.withColumn("_slice", F.spark_partition_id()), "slices")
 
     def direction(name):
