@@ -84,7 +84,7 @@ class Network:
 
         width = embed + 2 * char_hidden
         params = {
-            "embed": (0.1 * rng.standard_normal((len(vocabulary) + 1, embed))).astype(np.float32),
+            "embed": np.zeros((len(vocabulary) + 1, embed), np.float32),
             "chars": (0.3 * rng.standard_normal((CHARS, char_embed))).astype(np.float32),
             "att_v": init(attention, 1)[:, 0],
             "att_w": init(2 * hidden, attention),

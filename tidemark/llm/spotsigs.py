@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.llm.common import column, documents
+from tidemark.llm.components import components
 from tidemark.llm.personal import document_frequency
 from tidemark.llm.registry import query
 from tidemark.sources.staging import stage
@@ -181,6 +182,60 @@ def fingerprint_edits(docs: DataFrame, anchors: Sequence[str] | None = None, row
     )
 
 
+# documents with similar sets -----------------------------------------------------------------------
+
+
+def similar_classes(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, class_id, links): documents connected by sets of at least this Jaccard likeness.
+
+    ``sets``: doc_id, sigs. Equal sets are one class member from the start, so copies are never compared. The
+    others are partitioned by set length: with the ratio of lengths at least ``similarity``, partners lie in
+    the same or the next of geometric length classes. Within these, two sets that are similar share one of
+    their rarest signatures (all but the last ceil(similarity * n) - 1 of n). In each group that shares
+    a rare signature all sets are compared with the first one, the shortest; those it takes in leave with it, and the
+    rest go on among themselves until the group is used up.
+    """
+    keyed = sets.select("doc_id", "sigs", F.sha2(F.array_join("sigs", ",").cast("binary"), 256).alias("_set"))
+    keyed = stage(keyed, "sets")
+    distinct = keyed.groupBy("_set").agg(F.first("sigs").alias("sigs"), F.min("doc_id").alias("low"))
+    distinct = stage(distinct.withColumn("node", F.xxhash64("_set")), "distinct_sets")
+    each = distinct.select("node", F.explode("sigs").alias("sig"))
+    counts = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(counts, "sig").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_rarity"))
+    n = F.size("by_rarity")
+    prefix = F.slice("by_rarity", F.lit(1), (n - F.ceil(n * similarity) + 1).cast("int"))
+    level = F.floor(F.log(n.cast("double")) / F.lit(-math.log(similarity))).cast("long")
+    index = ranked.filter(n > 0).select("node", n.alias("n"), level.alias("level"), F.explode(prefix).alias("p"))
+    index = index.select("node", "n", F.col("p.sig").alias("sig"), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
+    index = stage(index, "rare_signatures")
+    edges, found = None, None
+    while not index.isEmpty():
+        group = W.partitionBy("sig", "level").orderBy("n", "node")
+        pairs = index.select(
+            "sig", "level", "node", "n",
+            F.first("node").over(group.rowsBetween(W.unboundedPreceding, 0)).alias("head"),
+            F.first("n").over(group.rowsBetween(W.unboundedPreceding, 0)).alias("head_n"),
+        )
+        pairs = stage(pairs.filter("node <> head"), "rare_pairs")
+        close = pairs.filter(F.col("head_n") >= F.col("n") * similarity - 1e-9).select("node", "head").distinct()
+        left = distinct.select("node", F.col("sigs").alias("a"))
+        right = distinct.select(F.col("node").alias("head"), F.col("sigs").alias("b"))
+        alike = likeness(F.col("a"), F.col("b")) >= similarity
+        found = stage(close.join(left, "node").join(right, "head").filter(alike).select("node", "head"), "similar")
+        edges = found if edges is None else edges.unionByName(found)
+        # a row that its head took in leaves the group; the head has met every other row and leaves as well
+        index = stage(pairs.join(found, ["node", "head"], "left_anti").select("node", "n", "sig", "level"), "rare_signatures")
+    none = distinct.select("node", F.col("node").alias("head")).limit(0)
+    edges = none if edges is None else edges
+    roots = components(edges.select(F.col("node").alias("u"), F.col("head").alias("v")))
+    placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = edges.select(F.col("node").alias("e")).unionByName(edges.select(F.col("head").alias("e")))
+    links = ends.groupBy(F.col("e").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    ids = placed.groupBy("root").agg(F.min("low").alias("class_id"))
+    placed = stage(placed.join(ids, "root").join(links, "node", "left").select("_set", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "set_classes")
+    return keyed.select("doc_id", "_set").join(placed, "_set").select("doc_id", "class_id", "links")
+
+
 @query("op2_spotsigs")
 def op2_spotsigs(spark, sf_dir):
     return fingerprint_edits(documents(spark, sf_dir))

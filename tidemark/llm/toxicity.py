@@ -19,7 +19,7 @@ from tidemark.llm.registry import query
 
 WINDOW = 32
 STRIDE = 16
-TOXIC_ROWS, CLEAN_ROWS = 1000, 1500  # labelled rows that the network learns from, at most
+TOXIC_ROWS, CLEAN_ROWS = 1000, 2500  # labelled rows that the network learns from, at most
 TRAIN_CHARS = 20_000  # only labelled texts up to this length are learnt from, so the sample has a bounded size
 VOCABULARY = 20_000  # words with an embedding of their own; the others are known by their characters
 MIN_COUNT = 4
@@ -137,7 +137,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_r
     return [(r.text, int(r.toxic == 1)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 6, batch: int = 256, seed: int = 0) -> Scorer:
+def train(sample: list[tuple[str, int]], rounds: int = 8, batch: int = 256, seed: int = 0) -> Scorer:
     """Fit the network: windows with their document's label first, then each document's worst windows.
 
     With rows of one class only, or none, every text scores that class's share (a half for none).
