@@ -172,7 +172,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 8, batch: int = 256, seed
 
     every = [(i, s) for i, words in enumerate(texts) for s in windows(len(words))]
     weight = np.array([1.0 / len(windows(len(texts[i]))) for i, _ in every])
-    first = rng.choice(len(every), size=min(40 * batch, 4 * len(every)), p=weight / weight.sum())
+    first = rng.choice(len(every), size=40 * batch, p=weight / weight.sum())
     learn([every[i] for i in first])
     for _ in range(rounds):
         scorer = Scorer(network)
@@ -180,6 +180,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 8, batch: int = 256, seed
         worst = [(i, int(s)) for i, s in enumerate(place)]
         other = [(i, int(rng.choice(windows(len(texts[i]))))) for i in np.flatnonzero(labels == 0)]
         chosen = worst + worst + other
+        chosen *= max(1, 6 * batch // len(chosen))
         learn([chosen[i] for i in rng.permutation(len(chosen))])
     scorer = Scorer(network)
     logit = scorer.worst(texts)[0].astype(np.float64)
