@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import __spark_entry__ as contract
 from tidemark.operators import metrics
 from tidemark.plans import flow as flows
@@ -35,9 +37,11 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(raw_label,1)" in plan(inliers)
 
 
-def test_top_n_is_limited_before_the_shuffle(spark):
-    text = plan(contract.queries()["top_n_scores"](spark, SF_DIR))
-    assert "WindowGroupLimit" in text and "Partial" in text
+@pytest.mark.parametrize("name", ["tokenize_ws", "vocab_lookup", "tokenize_sentences", "mask_positions", "mlm_corrupt"])
+def test_vocabulary_lookups_move_no_rows(spark, name):
+    text = plan(contract.queries()[name](spark, SF_DIR))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert "hashpartitioning(coalesce" not in text  # how a shuffled lookup would deal out its rows
 
 
 def test_numbered_columns_keep_pruning(spark):

@@ -249,3 +249,44 @@ def test_yearly_files(spark, tmp_path):
         spark.createDataFrame([(str(year),)], "a string").write.parquet(str(root / f"{year}_subset.parquet"))
     got = tables.scan_year_files(spark, str(tmp_path), [2006, 2007], "subset", False, "a string").collect()
     assert sorted((r["a"], r["year"], r["part"]) for r in got) == [("2006", 2006, "train"), ("2007", 2007, "train")]
+
+
+def test_equal_rows_are_tokenised_apart(spark):
+    df = spark.createDataFrame([("k", "0 1"), ("k", "0 1"), ("j", ""), ("m", " a  b c d e"), ("n", None)], "k string, s string")
+    got = tokens.tokenize_sentences(df, ["k"], "s", tokens.vocab_generate(spark), 4).collect()
+    ids = sorted((r["k"], list(r["input_ids"]), list(r["attention_mask"])) for r in got)
+    assert ids == [
+        ("j", [1, 1, 1, 1], [0, 0, 0, 0]), ("k", [837, 838, 1, 1], [1, 1, 0, 0]), ("k", [837, 838, 1, 1], [1, 1, 0, 0]),
+        ("m", [0, 0, 0, 0], [1, 1, 1, 1]), ("n", [1, 1, 1, 1], [0, 0, 0, 0]),
+    ]
+
+
+@pytest.mark.parametrize("whitespace", [True, False])
+def test_bad_lines_fail_or_are_kept_apart(spark, tmp_path, whitespace):
+    mark = "  " if whitespace else ","
+    lines = [mark.join(x) for x in (("1", "2.5", "3"), ("1", "oops", "3"), ("7",), ("1", "2", "3", "4"), ("4", "5", "6"))]
+    (tmp_path / "f.txt").write_text("\n".join(lines) + "\n")
+    schema = spark.createDataFrame([], "a int, b double, c int").schema
+    with pytest.raises(Exception, match="bad line|MALFORMED|FAILED_READ_FILE"):
+        tables.scan_delimited(spark, str(tmp_path), schema, whitespace).collect()
+    got = tables.scan_delimited(spark, str(tmp_path), schema, whitespace, lenient=True).collect()
+    good = sorted(tuple(r)[:3] for r in got if r["_bad_record"] is None)
+    assert good == [(1, 2.5, 3), (4, 5.0, 6)]
+    assert sorted(r["_bad_record"] for r in got if r["_bad_record"] is not None) == sorted(lines[1:4])
+    assert all(r["a"] is None for r in got if r["_bad_record"] is not None)
+
+
+def test_a_stream_scores_with_parameters_fitted_once(spark, tmp_path):
+    """Three files, one per trigger: the fitted numbers do not follow what is fitted on."""
+    from tidemark.streaming.yearly import stream_score
+
+    train, source = str(tmp_path / "train"), str(tmp_path / "in")
+    spark.createDataFrame([(float(i),) for i in range(10)], "x double").write.parquet(train)
+    for i in range(3):
+        spark.createDataFrame([(float(i),)], "x double").coalesce(1).write.mode("append").parquet(source)
+    params = encoding.std_params(spark.read.parquet(train), ["x"])
+    spark.createDataFrame([(1e6,)], "x double").write.mode("append").parquet(train)
+    rows = spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).parquet(source)
+    got = sorted((r["x"], round(r["score"], 6)) for r in stream_score(rows, ["x"], params).collect())
+    std = (sum((i - 4.5) ** 2 for i in range(10)) / 10) ** 0.5
+    assert got == [(float(i), round(abs(i - 4.5) / std, 6)) for i in range(3)]

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import centre, forest, neighbours, tails
-from tidemark.operators.ordering import keep_lowest, running_totals, skew_join
+from tidemark.operators import centre, forest, metrics, neighbours, ordering, tails
+from tidemark.operators.ordering import join_same, keep_lowest, running_totals
 from tidemark.operators.sampling import shuffle_rows
 
 
@@ -51,18 +51,72 @@ def test_shuffle_numbers_copies_apart(spark):
     assert sorted(r["position"] for r in shuffle_rows(df, 1).collect()) == list(range(1, 501))
 
 
-def test_skew_join_salts_the_hot_key(spark, tmp_path):
-    n = 30_000  # above the size that is joined without salt
-    spark.range(n).selectExpr("id AS k", "id * 2 AS v").write.parquet(str(tmp_path / "t"))
+def test_a_hot_key_is_split_by_adaptive_execution(spark, tmp_path):
+    """A table too large to broadcast, though it has few rows: the hot key's partition is split, nothing is lost."""
+    n = 300
+    wide = spark.range(n).selectExpr("id AS k", "repeat(cast(id AS string), 2000) AS v")
+    wide.write.parquet(str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))
-    rows = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 = 1 THEN NULL ELSE id + 29000 END AS k")
-    joined = skew_join(rows, table, ["k"], ["id"])
-    assert "_salt" in joined._jdf.queryExecution().analyzed().toString()
-    got = {r["id"]: r["v"] for r in joined.collect()}
-    assert len(got) == 9000
-    for i, v in got.items():
-        k = 7 if i % 3 == 0 else None if i % 100 == 1 else i + 29000
-        assert v == (None if k is None or k >= n else 2 * k)
+    rows = spark.range(0, 60_000, 1, 8).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 100 = 1 THEN NULL ELSE id % 400 END AS k")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        joined = join_same(rows, table, ["k"], "left").selectExpr("id", "k", "length(v) AS w")
+        got = joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 60_000
+    for r in got[::97]:
+        k = 7 if r["id"] % 3 == 0 else None if r["id"] % 100 == 1 else r["id"] % 400
+        assert r["w"] == (None if k is None or k >= n else 2000 * len(str(k)))
+
+
+def test_quota_with_long_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SMALL", 50)
+    monkeypatch.setattr(ordering, "PREFIX", 1)
+    df = spark.range(4000).selectExpr("cast(id % 3 AS string) AS g", "cast(id % 900 AS string) AS k", "lpad(hex(id), 16, '0') AS c")
+    kept = keep_lowest(df, ["g"], F.lit(501), F.md5("k"), F.col("c")).collect()
+    rows = [(r["g"], r["k"], r["c"]) for r in df.collect()]
+    for g in "012":
+        order = sorted((hashlib.md5(k.encode()).hexdigest(), c) for x, k, c in rows if x == g)[:501]
+        assert sorted((hashlib.md5(r["k"].encode()).hexdigest(), r["c"]) for r in kept if r["g"] == g) == order
+
+
+def test_top_n_of_any_size(spark):
+    rows = [(g, f"k{i:05d}", float(i % 40)) for g in ("a", "b") for i in range(3000 if g == "a" else 7)]
+    df = spark.createDataFrame(rows, "g string, key string, score double")
+    for n in (1, 5, 1200, 5000):
+        top = metrics.top_n_scores(df, ["g"], n, "key")
+        got = sorted((r["g"], r["rank"], r["key"]) for r in top.collect())
+        want = []
+        for g in ("a", "b"):
+            order = sorted((-s, k) for x, k, s in rows if x == g)[:n]
+            want += [(g, i + 1, k) for i, (_, k) in enumerate(order)]
+        assert got == sorted(want)
+
+
+def test_curve_metrics_of_very_many_rows(spark):
+    """Counts whose product is beyond a bigint."""
+    rows = [("a", 1, 0.9, 4_000_000_000), ("a", 0, 0.9, 1_000_000_000), ("a", 0, 0.1, 4_000_000_000)]
+    df = spark.createDataFrame(rows, "g string, label int, score double, w long")
+    got = {r["metric"]: r["value"] for r in metrics.eval_grid(df, ["g"], weight="w").collect()}
+    assert got["roc_auc"] == pytest.approx(0.9)
+
+
+def test_precision_at_n_without_anomalies(spark):
+    rows = [("a", "x", 0, 1.0), ("a", "y", 0, 2.0), ("b", "z", 1, 1.0), ("b", "w", 0, 0.5)]
+    df = spark.createDataFrame(rows, "g string, key string, label int, score double")
+    got = {r["g"]: (r["n_pos"], r["tp"], r["precision_at_n"]) for r in metrics.precision_at_n(df, ["g"], "key").collect()}
+    assert got["a"] == (0, 0, 0.0)
+    assert got["b"][:2] == (1, 1)
 
 
 def vectors(spark, x):

@@ -16,5 +16,5 @@ def hash_uniform(digest: Column, start: int = 1) -> Column:
 
 
 def physical_id() -> Column:
-    """Distinct id of a row of a parquet file, as 16 hex digits spread evenly."""
-    return F.lpad(F.hex(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))), 16, "0")
+    """Id of a row of a parquet file: 128 bits of its file and row index, as 32 hex digits spread evenly."""
+    return F.md5(F.concat_ws("|", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))

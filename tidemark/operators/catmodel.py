@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.hashing import hash_uniform, seeded_hash
 from tidemark.functions.text import MASK_ID, PAD_ID, row_to_sentence
-from tidemark.operators.ordering import join_same, skew_join
+from tidemark.operators.ordering import join_same
 from tidemark.sources.staging import stage
 
 MASK_SHARE = 0.15
@@ -21,7 +21,6 @@ TRIALS = 15
 ALPHA = 1.0  # add-one smoothing
 TEMPERATURE = 4.0
 TEACHER_WEIGHT = 0.9
-MAX_YEARS = 200
 
 
 def masked_positions(sentence: Column, length: Column, trial: Column, seed, share: float = MASK_SHARE) -> Column:
@@ -79,16 +78,17 @@ def pair_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
 
 
 class CountModel:
-    """Staged pair counts with, per pair, the count of every train year."""
+    """Staged pair counts with, per pair, the count of every train year in ``years``.
 
-    def __init__(self, train: DataFrame, columns: Sequence[str], year: str = "year", years: Sequence[int] | None = None):
+    The years are the protocol's, not the data's: rows of other years are an error.
+    """
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], years: Sequence[int], year: str = "year"):
         self.columns = list(columns)
         counts = stage(pair_counts(train, columns, [year]), "pair_counts")
-        if years is None:
-            years = [r[0] for r in counts.select(year).distinct().limit(MAX_YEARS + 1).collect()]
-            if len(years) > MAX_YEARS:
-                raise ValueError(f"more than {MAX_YEARS} distinct values of {year}: not a column of years")
         self.years = sorted(years)
+        if not counts.filter(~F.coalesce(F.col(year).isin(*self.years), F.lit(False))).isEmpty():
+            raise ValueError(f"train rows outside the years {self.years}")
         per_year = F.array(
             *[F.coalesce(F.sum(F.when(F.col(year) == y, F.col("n"))), F.lit(0)).cast("double") for y in self.years]
         )
@@ -116,8 +116,8 @@ class CountModel:
         ]
         carried = [c for c in sentences.columns if c not in self.columns and c != key]
         spelled = sentences.select(key, *carried, F.inline(F.array(*cells)))
-        long = skew_join(spelled, self.pairs, ["ci", "vi", "cj", "vj"], [key], counted=spelled)
-        long = skew_join(long, self.singles, ["ci", "vi"], [key], counted=spelled)
+        long = join_same(spelled, self.pairs, ["ci", "vi", "cj", "vj"], "left")
+        long = join_same(long, self.singles, ["ci", "vi"], "left")
         none = F.array_repeat(F.lit(0.0), len(self.years))
         sizes = F.array(*[F.lit(float(self.sizes.get(j, 1))) for j in range(d)])
         p = weigh(F.coalesce("n_ij", none), F.coalesce("n_i", none), F.get(sizes, F.col("cj")))

@@ -60,7 +60,7 @@ def hconcat_features(df: DataFrame, numeric: Sequence[str], columns: Sequence[st
 
 
 def std_params(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, mean, std): population standard deviation, 0 replaced by 1."""
+    """(feature, mean, std): population standard deviation, 0 replaced by 1. A staged table, like every fit."""
     wide = df.agg(
         F.array(
             *[
@@ -73,7 +73,7 @@ def std_params(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             ]
         ).alias("params")
     )
-    return wide.select(F.inline("params"))
+    return stage(wide.select(F.inline("params")), "std_params")
 
 
 def exact_quantiles(
@@ -110,9 +110,10 @@ def robust_params(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, median, iqr): exact quartiles, zero range replaced by 1."""
     q = exact_quantiles(long_form(df, [], columns), ["feature"], "value", [0.25, 0.5, 0.75])
     spread = F.col("q2") - F.col("q0")
-    return q.select(
+    fitted = q.select(
         "feature", F.col("q1").alias("median"), F.when(spread == 0, F.lit(1.0)).otherwise(spread).alias("iqr")
     )
+    return stage(fitted, "robust_params")
 
 
 def as_map(params: DataFrame, value: str) -> Column:
@@ -123,7 +124,6 @@ def as_map(params: DataFrame, value: str) -> Column:
 
 def scale_columns(df: DataFrame, columns: Sequence[str], params: DataFrame, centre: str, spread: str) -> DataFrame:
     """``(x - centre) / spread`` for each column; the fitted numbers travel as two scalar maps."""
-    params = stage(params, "scaling")
     centres, spreads = as_map(params, centre), as_map(params, spread)
     return df.select(
         *[
@@ -143,7 +143,6 @@ def robust_scale(df, columns, params) -> DataFrame:
 
 def max_abs_z(df: DataFrame, columns: Sequence[str], params: DataFrame) -> DataFrame:
     """Add ``score``: the largest absolute z-score over the numeric features of a row."""
-    params = stage(params, "scaling")
     means, stds = as_map(params, "mean"), as_map(params, "std")
     worst = [F.abs((F.col(c) - means[c]) / stds[c]) for c in columns]
     return df.withColumn("score", F.greatest(*worst) if len(worst) > 1 else worst[0])

@@ -76,7 +76,7 @@ def curve_metrics(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
     n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
     tp_in, fp_in = n_neg - fp + neg, n_pos - tp + pos  # same curve read from the low end
-    both = F.nullif(F.max(n_pos * n_neg), F.lit(0))
+    both = F.nullif(F.max(n_pos.cast("double") * n_neg.cast("double")), F.lit(0.0))  # beyond a bigint at scale
     return curve.groupBy(*by).agg(
         (F.sum(neg * (tp - pos + pos / 2)) / both).alias("roc_auc"),
         F.sum(_trapezoid(tp, fp, pos, neg, n_pos)).alias("pr_auc_outlier"),
@@ -135,7 +135,8 @@ def precision_at_n(
     """``tp / (tp + fp + 1e-5)`` among the N highest scores, N = anomalies of the group.
 
     The score where the N-th row falls comes from the running totals. Rows tied at that
-    score are taken in seeded hash order, by counting, so the tie may be of any size.
+    score are taken in seeded hash order, by counting, so the tie may be of any size. A group
+    without anomalies has precision 0.
     """
     curve = stage(cum_confusion(scored, by, score, label), "curve")
     seen = F.col("tp") + F.col("fp")
@@ -153,7 +154,9 @@ def precision_at_n(
     hits = taken.groupBy(*by).agg(F.count_if(F.col("_in") & (F.col(label) == 1)).alias("_hits"))
     out = join_same(edge, hits, list(by), "left")
     tp = F.col("sure") + F.coalesce("_hits", F.lit(0))
-    return out.select(*by, "n_pos", tp.alias("tp"), (tp / (F.col("n_pos") + 0.00001)).alias("precision_at_n"))
+    found = out.select(*by, "n_pos", tp.alias("tp"))
+    none = curve.filter("n_pos = 0").select(*by, "n_pos", F.col("n_pos").alias("tp")).distinct()
+    return found.unionByName(none).withColumn("precision_at_n", F.col("tp") / (F.col("n_pos") + 0.00001))
 
 
 def class_mean_score(scored: DataFrame, by: Sequence[str], batch="batch", score="score", weight=None) -> DataFrame:
@@ -175,16 +178,43 @@ def max_normalise(scored: DataFrame, by: Sequence[str], score="score") -> DataFr
     return join_same(scored, tops, list(by), "left").withColumn(score, F.col(score) / F.col("_top")).drop("_top")
 
 
+def _within(scored: DataFrame, by: Sequence[str], order: str, n: int, descending: bool) -> DataFrame:
+    """(by..., edge, open): per group the value of ``order`` at which the n-th row falls, and how many rows fit there."""
+    counts = scored.groupBy(*by, order).agg(F.count(F.lit(1)).alias("here"))
+    seen = running_totals(counts, list(by), order, ["here"], descending=descending)
+    last = (F.col("cum_here") >= F.least("all_here", F.lit(n))) & (F.col("cum_here") - F.col("here") < n)
+    edge = seen.filter(last & (F.col("cum_here") - F.col("here") < F.col("all_here")))
+    return edge.select(*by, F.col(order).alias("_edge"), (F.lit(n) - F.col("cum_here") + F.col("here")).alias("_open"))
+
+
+def _ends(scored: DataFrame, by: Sequence[str], n: int, key: str, score: str, descending: bool) -> DataFrame:
+    """The first ``n`` rows per group by score and key, ranked.
+
+    Running totals give the score of the n-th row, and the key of the last row that fits among those
+    tied there. Only rows up to that point - about n per group - are sorted, whatever n is.
+    """
+    edge = stage(_within(scored, by, score, n, descending), "edge")
+    marked = join_same(scored, edge, list(by))
+    beyond = F.col(score) > F.col("_edge") if descending else F.col(score) < F.col("_edge")
+    sure = marked.filter(beyond).select(*scored.columns)
+    tied = marked.filter(F.col(score) == F.col("_edge"))
+    keys = tied.groupBy(*by, "_open", key).agg(F.count(F.lit(1)).alias("here"))
+    seen = running_totals(keys, [*by, "_open"], key, ["here"])
+    fit = seen.filter(F.col("cum_here") - F.col("here") < F.col("_open")).groupBy(*by).agg(F.max(key).alias("_last"))
+    kept = join_same(tied, stage(fit, "edge_keys"), list(by)).filter(F.col(key) <= F.col("_last")).select(*scored.columns)
+    order = F.desc(score) if descending else F.asc(score)
+    ranked = sure.unionByName(kept).withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(order, key)))
+    return ranked.filter(F.col("rank") <= n)
+
+
 def top_n_scores(scored: DataFrame, by: Sequence[str], n: int, key: str, score="score") -> DataFrame:
-    """The ``n`` highest scores per group (Spark limits each partition before the shuffle)."""
-    ranked = W.partitionBy(*by).orderBy(F.desc(score), key)
-    return scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= n)
+    """The ``n`` highest scores per group, ties by key; rows without a score are left out."""
+    return _ends(scored.filter(F.col(score).isNotNull()), by, n, key, score, descending=True)
 
 
 def extreme_examples(scored: DataFrame, by: Sequence[str], n: int, key: str, score="score", label="label") -> DataFrame:
     """The ``n`` least and ``n`` most anomalous rows of the normal class."""
-    normal = scored.filter(F.col(label) == 0)
-    low = W.partitionBy(*by).orderBy(score, key)
-    lowest = normal.withColumn("rank", F.row_number().over(low)).filter(F.col("rank") <= n)
-    highest = top_n_scores(normal, by, n, key, score)
+    normal = scored.filter((F.col(label) == 0) & F.col(score).isNotNull())
+    lowest = _ends(normal, by, n, key, score, descending=False)
+    highest = _ends(normal, by, n, key, score, descending=True)
     return lowest.withColumn("end", F.lit("lowest")).unionByName(highest.withColumn("end", F.lit("highest")))

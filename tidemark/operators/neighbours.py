@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.hashing import seeded_hash
-from tidemark.operators.ordering import skew_join
+from tidemark.operators.ordering import join_same
 from tidemark.sources.staging import stage
 
 PIVOT_SEED = 7
@@ -173,12 +173,12 @@ def lof(queries: DataFrame, train: DataFrame, k: int, id_col: str, vector: str,
     k_dist = stage(own.groupBy(F.col("id").alias("neighbour")).agg(F.max("dist").alias("k_dist")), "k_dist")
 
     def density(pairs: DataFrame) -> DataFrame:
-        reached = skew_join(pairs, k_dist, ["neighbour"], ["id"])
+        reached = join_same(pairs, k_dist, ["neighbour"], "left")
         return reached.groupBy("id").agg(
             (1.0 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd")
         )
 
     train_lrd = stage(density(own).select(F.col("id").alias("neighbour"), F.col("lrd").alias("n_lrd")), "density")
     near = stage(knn_join(queries, train, k, id_col, vector, **blocks), "neighbours")
-    around = skew_join(near, train_lrd, ["neighbour"], ["id"]).groupBy("id").agg(F.avg("n_lrd").alias("n_lrd"))
+    around = join_same(near, train_lrd, ["neighbour"], "left").groupBy("id").agg(F.avg("n_lrd").alias("n_lrd"))
     return density(near).join(around, "id").select("id", (F.col("n_lrd") / F.col("lrd")).alias("score"))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.sources.staging import stage
 
-PREFIX = 4  # hex digits counted first: at most 65,536 counts per group
+PREFIX = 4  # hex digits counted in one step: at most 65,536 counts per group
+SMALL = 100_000  # rows under one prefix that are counted hash by hash
+MAX_PREFIX = 32  # digits of a digest
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -73,7 +75,7 @@ def hash_cut(
     """Per group, the hash value below which exactly ``quota`` rows lie.
 
     ``quota`` may use ``n`` (rows of the group) and ``n_total`` (rows of the
-    coarser ``totals_by`` grouping). Two counting passes: hash prefixes, then the
+    coarser ``totals_by`` grouping). Counting passes over ever longer hash prefixes, then over the
     hashes inside the one prefix where the quota falls. Where the quota ends among
     copies (equal hashes), ``copy`` - a distinct id per row - decides in the same way.
     Returns (group..., n, quota, cut, copy_cut); raises if a quota exceeds its group.
@@ -110,14 +112,28 @@ def _prefix_cut(rows, group, digest, quota, totals_by, carry=None):
     ).withColumn("quota", quota.cast("long"))
     reached = (F.col("_cum") >= F.col("quota")) & (F.col("_cum") - F.col("_n") < F.col("quota"))
     beyond = (F.col("quota") > F.col("n")) & (F.col("_cum") == F.col("n"))
-    edge = stage(
-        counts.filter(reached | beyond).select(
-            *group, "_p", "n", "quota", (F.col("quota") - F.col("_cum") + F.col("_n")).alias("_need")
-        ),
-        "prefix",
+    edge = counts.filter(reached | beyond).select(
+        *group, "_p", "n", "quota", (F.col("quota") - F.col("_cum") + F.col("_n")).alias("_need"), "_n"
     )
-    near = rows.withColumn("_p", F.substring(digest, 1, PREFIX)).select(*group, "_p", digest)
-    near = join_same(near, edge, [*group, "_p"]).groupBy(*group, "n", "quota", "_need", digest).agg(
+    edge, length = stage(edge, "prefix"), PREFIX
+    # the digits of the prefix grow until what is left under it is small, whatever the size of the group
+    while length < MAX_PREFIX and not edge.filter(F.col("_n") > SMALL).isEmpty():
+        near = rows.withColumn("_p", F.substring(digest, 1, length))
+        near = join_same(near, edge.drop("_n"), [*group, "_p"])
+        length += PREFIX
+        deeper = near.groupBy(*group, "n", "quota", "_need", F.substring(digest, 1, length).alias("_p")).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
+        ordered = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+        whole = W.partitionBy(*group)
+        deeper = deeper.select("*", F.sum("_n").over(ordered).alias("_cum"), F.sum("_n").over(whole).alias("_all"))
+        before = F.col("_cum") - F.col("_n")
+        here = (F.col("_cum") >= F.col("_need")) & (before < F.col("_need"))
+        last = (F.col("_need") > F.col("_all")) & (F.col("_cum") == F.col("_all"))
+        edge = deeper.filter(here | last).select(*group, "_p", "n", "quota", (F.col("_need") - before).alias("_need"), "_n")
+        edge = stage(edge, "prefix")
+    near = rows.withColumn("_p", F.substring(digest, 1, length)).select(*group, "_p", digest)
+    near = join_same(near, edge.drop("_n"), [*group, "_p"]).groupBy(*group, "n", "quota", "_need", digest).agg(
         F.count(F.lit(1)).alias("copies")
     )
     ordered = W.partitionBy(*group).orderBy(digest).rowsBetween(W.unboundedPreceding, 0)
@@ -175,37 +191,3 @@ def hash_positions(
         keyed = keyed.withColumn("_all", F.lit(1))
     placed = running_totals(keyed, list(group) or ["_all"], "_h", ["_one"])
     return placed.select(*df.columns, F.col("cum__one").alias(name))
-
-
-def skew_join(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    salt_on: Sequence[str],
-    counted: DataFrame | None = None,
-    share: int = 1000,
-) -> DataFrame:
-    """Left join to a table with one row per key, with frequent keys salted.
-
-    A key is frequent if it holds more than 1/``share`` of the rows, so there are
-    fewer than ``share`` of them. Their table rows are repeated once per salt and the
-    matching rows are spread over the salts by a hash of ``salt_on``. Keys are counted in
-    ``counted`` (default ``rows``), so a chain of joins need not be run again to count.
-    """
-    keys = list(keys)
-    spark = rows.sparkSession
-    if table.count() <= 20_000:  # counted from file footers; small enough for Spark to broadcast
-        return join_same(rows, table, keys, "left")
-    counted = rows if counted is None else counted
-    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fan = F.ceil(F.lit(parts) * F.col("_n") / F.lit(max(total, 1))).cast("int") + 1
-    hot = stage(counts.filter(F.col("_n") * share > total).select(*keys, fan.alias("_fan")), "hot")
-    salted = join_same(rows, hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*salt_on), F.coalesce("_fan", F.lit(1))).cast("int")
-    )
-    spread = join_same(table, hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))
-    )
-    return join_same(salted.drop("_fan"), spread.drop("_fan"), [*keys, "_salt"], "left").drop("_salt")

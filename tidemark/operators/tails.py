@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.encoding import long_form
-from tidemark.operators.ordering import running_totals, skew_join
+from tidemark.operators.ordering import join_same, running_totals
 from tidemark.sources.staging import stage
 
 
@@ -98,14 +98,14 @@ def tail_score(
     rows, parts = test, []
     for c in numeric:
         lookup = numbers.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("out").alias(f"_o_{c}"))
-        rows = skew_join(rows, lookup, [c], row_id, counted=test)
+        rows = join_same(rows, lookup, [c], "left")
         parts.append(F.col(f"_o_{c}"))
     if categorical:
         cats = category_tails(train, categorical, rule)
         for c in categorical:
             mine = cats.filter(F.col("feature") == c)
             lookup = mine.select(F.col("category").alias(c), (F.col("present") - F.col("absent")).alias(f"_o_{c}"))
-            rows = skew_join(rows, lookup, [c], row_id, counted=test)
+            rows = join_same(rows, lookup, [c], "left")
             parts.append(F.coalesce(f"_o_{c}", F.lit(0.0)))
         parts.append(F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0)))
     total = parts[0]

@@ -20,6 +20,19 @@ TRAINED_SPECIALS = (PAD, UNK, MASK)  # id order of a counted vocabulary
 VOCAB_LIMIT = 30_000
 
 
+def small_table(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A table of literals. Spark knows its size, so a join with it is a broadcast and moves no rows."""
+
+    def literal(v) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+    names = [c.split()[0] for c in columns]
+    values = ", ".join(f"({', '.join(map(literal, row))})" for row in rows)
+    typed = ", ".join(f"CAST({n} AS {c.split()[1]}) AS {n}" for n, c in zip(names, columns))
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({', '.join(names)})")
+
+
+# Fixed values as well: the spellings of a rate, in id order.
 def rate_tokens() -> list[str]:
     """0.00 .. 1.00 in steps of 0.01; each multiple of 0.1 also in its short spelling."""
     out = ["0.0"]
@@ -36,7 +49,7 @@ def vocab_generate(spark: SparkSession, bins: int = 233) -> DataFrame:
     for column in BINNED_COLUMNS:
         tokens += [f"c{column}{i}" for i in range(bins)]
     tokens += [*SERVICES, *rate_tokens(), *[str(i) for i in range(101)], *FLAGS]
-    return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
+    return small_table(spark, ["token string", "id int"], [(t, i) for i, t in enumerate(tokens)])
 
 
 def word_rows(df: DataFrame, text: str) -> DataFrame:
@@ -51,9 +64,8 @@ def vocab_train(df: DataFrame, text: str, size: int = VOCAB_LIMIT) -> DataFrame:
     top = counts.orderBy(F.desc("n"), "token").limit(size - len(TRAINED_SPECIALS))
     place = F.row_number().over(W.orderBy(F.desc("n"), "token"))  # at most `size` rows
     learnt = top.select("token", (place + len(TRAINED_SPECIALS) - 1).alias("id"), "n")
-    specials = df.sparkSession.createDataFrame(
-        [(t, i, 0) for i, t in enumerate(TRAINED_SPECIALS)], "token string, id int, n long"
-    )
+    rows = [(t, i, 0) for i, t in enumerate(TRAINED_SPECIALS)]
+    specials = small_table(df.sparkSession, ["token string", "id int", "n bigint"], rows)
     return specials.unionByName(learnt)
 
 
@@ -83,13 +95,15 @@ def tokenize_columns(df: DataFrame, columns: Sequence[str], vocab: DataFrame, bl
 def tokenize_sentences(df: DataFrame, key: Sequence[str], sentence: str, vocab: DataFrame, block: int) -> DataFrame:
     """(key..., input_ids, attention_mask) for sentences of any number of words.
 
-    ``block`` is the fixed length of a token row, so longer sentences are cut there.
+    ``block`` is the fixed length of a token row, so longer sentences are cut there. Each of its positions
+    is one lookup, as for columns: rows are not taken apart, so equal rows stay apart and none is shuffled.
     """
     kept = F.slice(words(F.col(sentence)), 1, block)
-    cells = df.select(*key, F.posexplode_outer(kept).alias("pos", "token"))
-    found = vocab_lookup(cells, "token", vocab, "id")
-    rows = found.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id")))).alias("cells")
-    )
-    ids = pad_to_block(F.transform("cells", lambda c: c["id"]), block)
+    cells = [f"_word_{i}" for i in range(block)]
+    rows = df.select(*key, kept.alias("_words"))
+    rows = rows.select(*key, F.size("_words").alias("_n"), *[F.get("_words", F.lit(i)).alias(c) for i, c in enumerate(cells)])
+    for c in cells:
+        rows = vocab_lookup(rows, c, vocab, f"{c}_id")
+    found = F.slice(F.array(*[f"{c}_id" for c in cells]), F.lit(1), F.coalesce("_n", F.lit(0)))
+    ids = pad_to_block(found, block)
     return rows.select(*key, ids.alias("input_ids")).withColumn("attention_mask", attention_mask(F.col("input_ids")))

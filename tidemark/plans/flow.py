@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.bins import log_bin
 from tidemark.functions.hashing import physical_id
 from tidemark.functions.labels import recode_label
-from tidemark.operators.ordering import skew_join
+from tidemark.operators.ordering import join_same
 from tidemark.operators.sampling import HOLDOUT_SEED, mark_holdout
 from tidemark.sources.staging import new_path
 from tidemark.spec import FeatureSpec, SplitProtocol
@@ -42,7 +42,7 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("copy_id", physical_id())
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     price = F.col("l_extendedprice")
-    return skew_join(items, parts, ["l_partkey"], ["copy_id"]).filter("p_type IS NOT NULL").select(
+    return join_same(items, parts, ["l_partkey"], "left").filter("p_type IS NOT NULL").select(
         F.concat_ws(
             "|",
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",

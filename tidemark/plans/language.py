@@ -17,6 +17,7 @@ from tidemark.sources.staging import new_path, stage
 CAT = list(FLOW.cat)
 CELLS = ["0", "1", "2", "4", "5", "6", "7", "13"]  # sentence columns of the numbered table
 BLOCK = 14
+PROTOCOL_YEARS = range(1995, 2002)
 SEED = 42
 
 
@@ -229,7 +230,7 @@ IID_SQL = model_sql("train", "(SELECT *, 0 AS model_year FROM test)")
 
 def pooled_scores(spark, sf_dir) -> DataFrame:
     base = flow(spark, sf_dir)
-    model = catmodel.CountModel(training(base), CAT)
+    model = catmodel.CountModel(training(base), CAT, PROTOCOL_YEARS)
     scored = catmodel.score_rows(model, testing(base), catmodel.pooled, SEED)
     return rounded(scored, "score", digits=9)
 
@@ -275,7 +276,7 @@ DISTIL_WEIGHT = """CASE WHEN yrs.k > a.model_year THEN 0 ELSE pow(0.9::DOUBLE, a
 def yearly_scores(spark, sf_dir, regime) -> DataFrame:
     rows = labelled(flow(spark, sf_dir))
     train = rows.filter((F.col("label") == 0) & (F.col("part") == "train"))
-    model = catmodel.CountModel(train, CAT)
+    model = catmodel.CountModel(train, CAT, PROTOCOL_YEARS)
     test = rows.filter(F.col("year") > 1995).withColumn("model_year", F.col("year") - 1)
     weigh = regime(model.years, F.col("model_year"))
     scored = catmodel.score_rows(model, test, weigh, SEED, ["model_year"], keep=("year", "label", "model_year"))

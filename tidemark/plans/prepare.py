@@ -9,7 +9,7 @@ from tidemark.functions.hashing import physical_id
 from tidemark.functions.labels import anomaly_kind, class_sets, is_outlier, one_vs_rest, recode_label
 from tidemark.functions.text import concat_timestamp, split_fields
 from tidemark.operators import rows, sampling
-from tidemark.operators.ordering import join_same, skew_join
+from tidemark.operators.ordering import join_same
 from tidemark.plans.flow import flow, flow_path, flow_rows, labelled, table, testing
 from tidemark.plans.registry import EDGES, query, with_flow
 from tidemark.sources import sinks, tables
@@ -63,7 +63,7 @@ def raw_lines(spark, sf_dir) -> DataFrame:
         F.col("l_linenumber").cast("string"), blank, F.date_format("l_shipdate", "yyyy-MM-dd"),
         F.when(F.col("l_linestatus") == "O", "tcp").otherwise("udp"),
     ]
-    return skew_join(items, parts, ["l_partkey"], ["copy_id"]).filter("p_type IS NOT NULL").select(
+    return join_same(items, parts, ["l_partkey"], "left").filter("p_type IS NOT NULL").select(
         F.concat_ws("\t", *fields).alias("value"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m")
     )
 

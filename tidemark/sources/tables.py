@@ -66,15 +66,36 @@ def bin_raw_columns(df: DataFrame, columns: Sequence[str] = ("0", "2", "3")) ->
     )
 
 
+BAD_RECORD = "_bad_record"
+
+
 def scan_delimited(
-    spark: SparkSession, path: str, schema: T.StructType, whitespace: bool = False, header: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, whitespace: bool = False, header: bool = False, lenient: bool = False
 ) -> DataFrame:
-    """Comma CSV, or fields separated by any run of blanks."""
+    """Comma CSV, or fields separated by any run of blanks.
+
+    A line that does not fit the schema - a field too few or too many, or text that is no number -
+    fails the scan. With ``lenient`` it becomes a row of NULLs, and the column ``_bad_record`` holds the line.
+    """
     if not whitespace:
-        return spark.read.schema(schema).option("header", str(header).lower()).csv(path)
+        reader = spark.read.option("header", str(header).lower())
+        if not lenient:
+            return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+        reader = reader.option("columnNameOfCorruptRecord", BAD_RECORD)
+        rows = reader.schema(T.StructType([*schema, T.StructField(BAD_RECORD, T.StringType())])).csv(path)
+        good = F.col(BAD_RECORD).isNull()
+        return rows.select(*[F.when(good, F.col(f.name)).alias(f.name) for f in schema], BAD_RECORD)
     fields = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(*[F.get(fields, F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
+    values = [F.get(fields, F.lit(i)).try_cast(f.dataType) for i, f in enumerate(schema)]
+    fits = F.size(fields) == len(values)
+    for i, value in enumerate(values):
+        fits = fits & (value.isNotNull() | F.get(fields, F.lit(i)).isNull())
+    if lenient:
+        cells = [F.when(fits, v).alias(f.name) for v, f in zip(values, schema)]
+        return lines.select(*cells, F.when(~fits, F.col("value")).alias(BAD_RECORD))
+    checked = lines.withColumn("value", F.when(fits, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), "value"))))
+    return checked.select(*[v.alias(f.name) for v, f in zip(values, schema)])
 
 
 def scan_vocab(spark: SparkSession, path: str) -> DataFrame:

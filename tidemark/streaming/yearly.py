@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.encoding import max_abs_z
-from tidemark.sources.staging import new_path
+from tidemark.sources.staging import new_path, stage
 
 
 def stream_drift_counts(events: DataFrame, time: str, category: str, delay: str = "1 day") -> DataFrame:
@@ -46,8 +46,12 @@ def batch_drift_counts(events: DataFrame, time: str, category: str) -> DataFrame
 
 
 def stream_score(rows: DataFrame, columns: Sequence[str], params: DataFrame) -> DataFrame:
-    """Score arriving rows with fixed (already fitted) parameters; returns the scored table."""
+    """Score arriving rows with fixed parameters; returns the scored table.
+
+    The parameters are computed once, before the stream starts; no micro-batch fits anything.
+    """
     spark = rows.sparkSession
+    params = stage(params, "stream_params")
     path, log = new_path(spark, "stream_scores"), new_path(spark, "stream_log")
 
     def score(batch: DataFrame, number: int) -> None:
