@@ -206,10 +206,10 @@ def test_tail_scores_equal_one_hot_expansion(spark, rule):
     cats = ["u"] * 8 + ["v"] * 3 + ["w"]
     train = spark.createDataFrame([(float(i % 4), c) for i, c in enumerate(cats)], "x double, c string")
     test = spark.createDataFrame([("0", 2.0, "u"), ("1", 9.0, "w"), ("2", -1.0, "new")], "copy_id string, x double, c string")
-    short = tails.tail_score(train, test, ["x"], ["c"], rule)
+    short = tails.TailModel(train, ["x"], ["c"]).score(test, rule)
     spell = [(F.col("c") == v).cast("double").alias(f"is_{v}") for v in ("u", "v", "w")]
     names = ["x", "is_u", "is_v", "is_w"]
-    full = tails.tail_score(train.select("x", *spell), test.select("copy_id", "x", *spell), names, [], rule)
+    full = tails.TailModel(train.select("x", *spell), names).score(test.select("copy_id", "x", *spell), rule)
     a = {r["copy_id"]: r["score"] for r in short.collect()}
     b = {r["copy_id"]: r["score"] for r in full.collect()}
     assert a == pytest.approx(b)

@@ -1,8 +1,8 @@
 """Empirical tail probabilities and the two detectors built on them (ECOD, COPOD).
 
-Fit and scoring share one table: every distinct feature value of train or test with the
-number of train rows at or below and at or above it. Scores depend on train only, never
-on how test rows are batched.
+The fit is a table of the train rows alone: how often each value of each feature occurs. To score,
+the distinct test values are put into that order with weight 0, so both kinds of rows get the number of
+train rows at or below and at or above them. Scores never depend on how test rows are batched.
 """
 
 from __future__ import annotations
@@ -16,23 +16,30 @@ from tidemark.operators.ordering import join_same, running_totals
 from tidemark.sources.staging import stage
 
 
-def ecdf(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, le, ge, n) for the distinct values of both tables.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, w): rows per distinct value, NULLs left out."""
+    cells = long_form(df, [], columns).filter("value IS NOT NULL")
+    return cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
+
 
-    One counting pass over the union (test rows weigh 0), one ordered pass over the
-    distinct values; no range join.
+def ecdf_at(counts: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, le, ge, n) for the distinct values of fitted ``counts`` and of ``test``.
+
+    One ordered pass over distinct values; no range join.
     """
-    weighted = long_form(train, [], columns).withColumn("w", F.lit(1)).unionByName(
-        long_form(test, [], columns).withColumn("w", F.lit(0))
-    )
-    counts = weighted.groupBy("feature", "value").agg(F.sum("w").alias("w"))
-    ranked = running_totals(counts, ["feature"], "value", ["w"])
+    seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct().withColumn("w", F.lit(0).cast("long"))
+    merged = counts.unionByName(seen).groupBy("feature", "value").agg(F.sum("w").alias("w"))
+    ranked = running_totals(merged, ["feature"], "value", ["w"])
     return ranked.select(
         "feature", "value", F.col("cum_w").alias("le"), (F.col("all_w") - F.col("cum_w") + F.col("w")).alias("ge"),
         F.col("all_w").alias("n"),
     )
 
 
+def ecdf(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return ecdf_at(value_counts(train, columns), test, columns)
+
+
 def tail(count: Column, n: Column) -> Column:
     """-ln of a tail probability, floored at 1/(n+1) so unseen tails stay finite."""
     return -F.log(F.greatest(count / n, F.lit(1.0) / (n + 1)))
@@ -45,78 +52,86 @@ def _merge_tails(left: Column, right: Column, skew: Column, rule: str) -> Column
     return F.greatest((left + right) / 2, chosen)
 
 
-def numeric_tails(train: DataFrame, test: DataFrame, columns: Sequence[str], rule: str) -> DataFrame:
-    """(feature, value, outlyingness), staged by feature so each lookup knows its size."""
-    skews = train.agg(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.skewness(c).alias("skew")) for c in columns]).alias("s")
-    ).select(F.inline("s"))
-    skews = skews.select("feature", F.when(F.isnan("skew"), F.lit(0.0)).otherwise(F.col("skew")).alias("skew"))
-    table = ecdf(train, test, columns).join(stage(skews, "skews"), "feature")
-    left, right = tail(F.col("le"), F.col("n")), tail(F.col("ge"), F.col("n"))
-    scored = table.select("feature", "value", _merge_tails(left, right, F.col("skew"), rule).alias("out"))
-    return stage(scored, "tails", partition_by=("feature",))
-
-
-def category_tails(train: DataFrame, columns: Sequence[str], rule: str) -> DataFrame:
-    """(feature, category, present, absent): tail score of each 0/1 indicator of a category.
-
-    An indicator is 1 with probability p, so its left tail at 0 is 1-p and its right tail
-    at 1 is p; the other two tails are certain. Its skew has the sign of 1-2p.
-    """
-    cells = long_form(train, [], columns, value="category").filter("category IS NOT NULL")
-    counts = cells.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("k"))
-    total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = counts.withColumn("n", total)
-    k, n, zero = F.col("k"), F.col("n"), F.lit(0.0)
-    skew = n - 2 * k
-    return stage(
-        counts.select(
+class TailModel:
+    """Fitted tables of ECOD and COPOD: value counts, skews, category counts. Both rules score from one fit."""
+
+    def __init__(self, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()):
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        self.counts = stage(value_counts(train, self.numeric), "value_counts")
+        skews = train.agg(
+            F.array(*[F.struct(F.lit(c).alias("feature"), F.skewness(c).alias("skew")) for c in self.numeric]).alias("s")
+        ).select(F.inline("s"))
+        skews = skews.select("feature", F.when(F.isnan("skew"), F.lit(0.0)).otherwise(F.col("skew")).alias("skew"))
+        self.skews = stage(skews, "skews")
+        if self.categorical:
+            cells = long_form(train, [], self.categorical, value="category").filter("category IS NOT NULL")
+            counts = cells.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("k"))
+            total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
+            self.categories = stage(counts.withColumn("n", total), "category_counts")
+
+    def _numeric_tails(self, test: DataFrame, rule: str) -> DataFrame:
+        """(feature, value, out)"""
+        table = ecdf_at(self.counts, test, self.numeric).join(self.skews, "feature")
+        left, right = tail(F.col("le"), F.col("n")), tail(F.col("ge"), F.col("n"))
+        return table.select("feature", F.col("value"), _merge_tails(left, right, F.col("skew"), rule).alias("out"))
+
+    def _category_tails(self, rule: str) -> DataFrame:
+        """(feature, category, present, absent): tail score of each 0/1 indicator of a category.
+
+        An indicator is 1 with probability p, so its left tail at 0 is 1-p and its right tail
+        at 1 is p; the other two tails are certain. Its skew has the sign of 1-2p.
+        """
+        k, n, zero = F.col("k"), F.col("n"), F.lit(0.0)
+        skew = n - 2 * k
+        return self.categories.select(
             "feature",
             "category",
             _merge_tails(zero, tail(k, n), skew, rule).alias("present"),
             _merge_tails(tail(n - k, n), zero, skew, rule).alias("absent"),
-        ),
-        "category_tails",
-        partition_by=("feature",),
-    )
-
-
-def tail_score(
-    train: DataFrame,
-    test: DataFrame,
-    numeric: Sequence[str],
-    categorical: Sequence[str] = (),
-    rule: str = "ecod",
-    row_id: Sequence[str] = ("copy_id",),
-) -> DataFrame:
-    """Add ``score``: summed outlyingness over numeric features and all indicators.
-
-    The indicators of a column are never expanded: a row adds the column's total of
-    ``absent`` scores, corrected for the one category it has.
-    """
-    numbers = numeric_tails(train, test, numeric, rule)
-    rows, parts = test, []
-    for c in numeric:
-        lookup = numbers.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("out").alias(f"_o_{c}"))
-        rows = join_same(rows, lookup, [c], "left")
-        parts.append(F.col(f"_o_{c}"))
-    if categorical:
-        cats = category_tails(train, categorical, rule)
-        for c in categorical:
-            mine = cats.filter(F.col("feature") == c)
-            lookup = mine.select(F.col("category").alias(c), (F.col("present") - F.col("absent")).alias(f"_o_{c}"))
-            rows = join_same(rows, lookup, [c], "left")
-            parts.append(F.coalesce(f"_o_{c}", F.lit(0.0)))
-        parts.append(F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0)))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return rows.withColumn("score", total).drop(*[f"_o_{c}" for c in [*numeric, *categorical]])
+        )
+
+    def score(self, test: DataFrame, rule: str, row_id: Sequence[str] = ("copy_id",)) -> DataFrame:
+        """Add ``score``: summed outlyingness over numeric features and all indicators.
+
+        Rows become narrow (row id, feature, value) cells; the first cell of a row carries its other columns.
+        One shuffle brings the cells to their tails and one adds them up by row, however many features
+        there are. Indicators are never expanded: a row adds the column's total of ``absent`` scores, corrected
+        for the one category it has.
+        """
+        carried = F.struct(*[F.col(c) for c in test.columns])
+        cells = [(c, F.lit(""), F.col(c).cast("double")) for c in self.numeric]
+        cells += [(c, F.col(c).cast("string"), F.lit(None).cast("double")) for c in self.categorical]
+        packed = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("feature"), category.alias("category"), value.alias("value"),
+                    (carried if i == 0 else F.lit(None)).alias("row"),
+                )
+                for i, (name, category, value) in enumerate(cells)
+            ]
+        )
+        long = test.select(*row_id, F.inline(packed))
+        tails = self._numeric_tails(test, rule).select("feature", F.lit("").alias("category"), "value", "out")
+        base = F.lit(0.0)
+        if self.categorical:
+            cats = self._category_tails(rule)
+            own = cats.select("feature", "category", F.lit(None).cast("double").alias("value"), (F.col("present") - F.col("absent")).alias("out"))
+            tails = tails.unionByName(own)
+            base = F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0))
+        met = join_same(long, stage(tails, "tails"), ["feature", "category", "value"], "left")
+        missing = F.col("value").isNull() & F.col("feature").isin(*self.numeric)  # a row without a number has no score
+        out = met.groupBy(*row_id).agg(
+            F.first("row", ignorenulls=True).alias("row"),
+            F.sum(F.coalesce("out", F.lit(0.0))).alias("out"),
+            F.max(missing).alias("missing"),
+        )
+        total = F.when(~F.col("missing"), F.col("out") + base)
+        return out.withColumn("score", total).select("row.*", "score")
 
 
 def ecod(train, test, numeric, categorical=(), row_id=("copy_id",)) -> DataFrame:
-    return tail_score(train, test, numeric, categorical, "ecod", row_id)
+    return TailModel(train, numeric, categorical).score(test, "ecod", row_id)
 
 
 def copod(train, test, numeric, categorical=(), row_id=("copy_id",)) -> DataFrame:
-    return tail_score(train, test, numeric, categorical, "copod", row_id)
+    return TailModel(train, numeric, categorical).score(test, "copod", row_id)

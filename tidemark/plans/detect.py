@@ -124,7 +124,7 @@ def ecdf(spark, sf_dir):
     return tails.ecdf(training(base), testing(base), NUM)
 
 
-def tail_sql(rule: str) -> str:
+def tail_body(rule: str) -> str:
     """Every indicator of every category is expanded here, which the Spark side avoids."""
     pick = "greatest(ul, ur, us)" if rule == "ecod" else "greatest((ul + ur) / 2, us)"
     cats = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS category FROM train" for c in CAT)
@@ -133,7 +133,7 @@ def tail_sql(rule: str) -> str:
     skews = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, avg(pow({c} - (SELECT avg({c}) FROM train), 3)) AS skew FROM train" for c in NUM
     )
-    return with_flow(
+    return (
         UNION_LONG
         + f""", sk AS ({skews}),
 tn AS (SELECT feature, value, -ln(greatest(le / n, 1 / (n + 1))) AS ul, -ln(greatest(ge / n, 1 / (n + 1))) AS ur, skew FROM ecdf JOIN sk USING (feature)),
@@ -148,16 +148,25 @@ SELECT row_key, round(sum(o), 5) AS score FROM parts GROUP BY 1"""
     )
 
 
+def tail_sql(rule: str) -> str:
+    return with_flow(tail_body(rule))
+
+
+def kept(base):
+    """Test rows with the columns that detectors use or hand on."""
+    return testing(base).select("row_key", "copy_id", "year", "split", "label", *NUM, *CAT)
+
+
 @query("ecod", tail_sql("ecod"))
 def ecod(spark, sf_dir):
     base = flow(spark, sf_dir)
-    return rounded(tails.ecod(training(base), testing(base), NUM, CAT).select("row_key", "score"), "score", digits=5)
+    return rounded(tails.ecod(training(base), kept(base), NUM, CAT).select("row_key", "score"), "score", digits=5)
 
 
 @query("copod", tail_sql("copod"))
 def copod(spark, sf_dir):
     base = flow(spark, sf_dir)
-    return rounded(tails.copod(training(base), testing(base), NUM, CAT).select("row_key", "score"), "score", digits=5)
+    return rounded(tails.copod(training(base), kept(base), NUM, CAT).select("row_key", "score"), "score", digits=5)
 
 
 # --- neighbours ------------------------------------------------------------------------
@@ -268,7 +277,7 @@ def isolation_forest(spark, sf_dir):
 D = 64
 
 
-def rff_sql() -> str:
+def rff_body() -> str:
     unit = lambda text: f"((('0x' || substr(md5({text}), 1, 8))::BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
     gamma = 1.0 / len(NUM)
     scaled = ", ".join(
@@ -280,7 +289,7 @@ def rff_sql() -> str:
         for j in range(len(NUM))
     )
     inner = " + ".join(f"w{j} * x{j}" for j in range(len(NUM)))
-    return with_flow(
+    return (
         ROBUST_SQL
         + f""",
 weights AS (SELECT f, {weights}, 2 * pi() * {unit("concat_ws(chr(124), 42, f, chr(98))")} AS b FROM range({D}) r(f)),
@@ -291,7 +300,7 @@ FROM xtest CROSS JOIN weights JOIN mean USING (f) GROUP BY row_key"""
     )
 
 
-@query("ocsvm_rff", rff_sql())
+@query("ocsvm_rff", with_flow(rff_body()))
 def ocsvm_rff(spark, sf_dir):
     base = flow(spark, sf_dir)
     train, test = training(base), testing(base)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import encoding
 from tidemark.plans.evaluate import rounded
-from tidemark.plans.flow import FLOW, flow, testing, training
+from tidemark.plans.flow import FLOW, PROTOCOL, flow, testing, training
 from tidemark.plans.registry import query, with_flow
 
 NUM, CAT = list(FLOW.num), list(FLOW.cat)
@@ -69,32 +69,32 @@ def category_dict(spark, sf_dir):
     return encoding.category_dict(flow(spark, sf_dir), CAT)
 
 
-# fitted on one year only, so that some test categories are unknown
-ONE_YEAR = dictionary_sql("(SELECT * FROM train WHERE year = 1995 AND num_price > 30000)")
+# fitted on all train rows, inliers and anomalies; categories that only other rows have are unknown
+TRAIN_DICT = dictionary_sql("(SELECT * FROM flow WHERE split = 'TRAIN')")
 
 
-def one_year_dictionary(spark, sf_dir):
-    train = training(flow(spark, sf_dir)).filter((F.col("year") == 1995) & (F.col("num_price") > 30000))
-    return encoding.category_dict(train, CAT)
+def train_dictionary(spark, sf_dir):
+    rows = flow(spark, sf_dir)
+    return encoding.category_dict(rows.filter((F.col("part") == "train") & F.col("year").between(PROTOCOL.train_first, PROTOCOL.train_last)), CAT)
 
 
 @query(
     "onehot_lookup",
-    with_flow(ONE_YEAR + " SELECT row_key, " + ", ".join(f"{c}_d.idx AS {c}_idx" for c in CAT) + " FROM test t "
+    with_flow(TRAIN_DICT + " SELECT row_key, " + ", ".join(f"{c}_d.idx AS {c}_idx" for c in CAT) + " FROM test t "
     + " ".join(f"LEFT JOIN dict {c}_d ON {c}_d.feature = '{c}' AND {c}_d.category = t.{c}" for c in CAT)),
 )
 def onehot_lookup(spark, sf_dir):
     test = testing(flow(spark, sf_dir)).select("row_key", *CAT)
-    return encoding.onehot_lookup(test, CAT, one_year_dictionary(spark, sf_dir)).drop(*CAT)
+    return encoding.onehot_lookup(test, CAT, train_dictionary(spark, sf_dir)).drop(*CAT)
 
 
 TEST_CELLS = ", cells AS (" + " UNION ALL ".join(f"SELECT row_key, '{c}' AS feature, {c} AS category FROM test" for c in CAT) + ")"
 
 
-@query("one_hot", with_flow(ONE_YEAR + TEST_CELLS + " SELECT row_key, feature, idx FROM cells JOIN dict USING (feature, category)"))
+@query("one_hot", with_flow(TRAIN_DICT + TEST_CELLS + " SELECT row_key, feature, idx FROM cells JOIN dict USING (feature, category)"))
 def one_hot(spark, sf_dir):
     test = testing(flow(spark, sf_dir))
-    return encoding.one_hot(test, ["row_key"], CAT, one_year_dictionary(spark, sf_dir))
+    return encoding.one_hot(test, ["row_key"], CAT, train_dictionary(spark, sf_dir))
 
 
 _sizes = [f"(SELECT count(*) FROM dict WHERE feature = '{c}')" for c in CAT]
@@ -104,7 +104,7 @@ _offsets = {c: " + ".join([str(len(NUM)), *_sizes[:i]]) for i, c in enumerate(CA
 @query(
     "hconcat_features",
     with_flow(
-        ONE_YEAR + TEST_CELLS + ", blocks AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_offsets[c]} AS base" for c in CAT) + "), parts AS ("
+        TRAIN_DICT + TEST_CELLS + ", blocks AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_offsets[c]} AS base" for c in CAT) + "), parts AS ("
         + " UNION ALL ".join(f"SELECT row_key, {i} AS pos, {c} AS val FROM test WHERE {c} <> 0" for i, c in enumerate(NUM))
         + " UNION ALL SELECT row_key, base + idx, 1.0 FROM cells JOIN dict USING (feature, category) JOIN blocks USING (feature))"
         + f" SELECT row_key, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, round(sum(val), 6) AS total, CAST({len(NUM)} + (SELECT count(*) FROM dict) AS INTEGER) AS width"
@@ -113,7 +113,7 @@ _offsets = {c: " + ".join([str(len(NUM)), *_sizes[:i]]) for i, c in enumerate(CA
 )
 def hconcat_features(spark, sf_dir):
     test = testing(flow(spark, sf_dir))
-    wide = encoding.hconcat_features(test, NUM, CAT, one_year_dictionary(spark, sf_dir))
+    wide = encoding.hconcat_features(test, NUM, CAT, train_dictionary(spark, sf_dir))
     values = F.transform("features", lambda e: e["val"])
     return wide.select(
         "row_key",
