@@ -1,13 +1,15 @@
 """Exact k-nearest-neighbour join and the scores built on it.
 
-Train rows are put in the cell of their nearest pivot. The triangle inequality bounds the
-distance from a query to every cell, so a query visits only cells that can hold one of its
-k nearest rows. Cells and visits are cut into blocks of bounded size; numpy compares one
-block of queries with one block of train rows and returns k rows per query.
+Train rows are put in the cell of their nearest pivot; the number of pivots grows with the table. A
+query first looks into its own cell. The k-th distance found there, and the triangle inequality,
+then rule out every other cell that cannot hold a nearer row. Cells and visits are cut into blocks of
+bounded size; numpy compares one block of queries with one block of train rows and returns k rows
+per query. In many dimensions distances are alike and few cells can be ruled out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,7 @@ from tidemark.operators.ordering import join_same
 from tidemark.sources.staging import stage
 
 PIVOT_SEED = 7
+MIN_PIVOTS, MAX_PIVOTS = 32, 4096
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -68,13 +71,15 @@ def knn_join(
     id_col: str,
     vector: str,
     exclude_self: bool = False,
-    pivots: int = 32,
+    pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """(id, neighbour, dist, rank): the exact k nearest train rows of every query."""
     train = train.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     queries = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     id_type = dict(train.dtypes)["id"]
+    if pivots is None:
+        pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.sqrt(train.count()))))
     # at most `pivots` vectors and `pivots * (k + 1)` distances reach the driver
     chosen = train.orderBy(seeded_hash(PIVOT_SEED, "id"), "id").limit(pivots).collect()
     centres = np.array([r["vec"] for r in chosen])
@@ -100,35 +105,25 @@ def knn_join(
     near_reach = np.array([r["reach"] for r in inner])
     between = _distances(centres, centres)
 
-    def cells_to_visit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs that the distance bounds cannot rule out."""
+    def own_cell(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the nearest cell that has train rows."""
+        d = np.where(count > 0, _distances(_matrix(pdf["vec"]), centres), np.inf)
+        return np.arange(len(pdf)), d.argmin(1)
+
+    def other_cells(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs beyond the own cell that the distance bounds cannot rule out."""
         d = _distances(_matrix(pdf["vec"]), centres)
         upper = d[:, near_cell] + near_reach[None, :]
         enough = upper.shape[1] >= need
         bound = np.partition(upper, need - 1, axis=1)[:, need - 1] if enough else np.full(len(d), np.inf)
+        bound = np.fmin(bound, pdf["bound"].to_numpy(float))
         own = d.argmin(1)
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (d**2 - d.min(1)[:, None] ** 2) / (2.0 * between[own])
         lower = np.maximum(d - radius[None, :], np.where(between[own] > 0, plane, 0.0))
-        return np.nonzero((lower <= bound[:, None] * (1 + 1e-9) + 1e-6) & (count > 0)[None, :])
-
-    def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                n = np.bincount(cells_to_visit(pdf)[1], minlength=len(centres))
-                yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
-
-    def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                pdf = batch.iloc[start : start + 1024]
-                r, c = cells_to_visit(pdf)
-                yield pd.DataFrame({"id": pdf["id"].values[r], "vec": pdf["vec"].values[r], "cell": c.astype("int32")})
-
-    # counted first and found again below: cheaper than writing every visit with its vector
-    per_cell = queries.mapInPandas(count_visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    visited = {r["cell"]: r["n"] for r in per_cell.collect()}
-    visits = queries.mapInPandas(to_visits, f"id {id_type}, vec array<double>, cell int")
+        open_ = (lower <= bound[:, None] * (1 + 1e-9) + 1e-6) & (count > 0)[None, :]
+        open_[own_cell(pdf)] = False
+        return np.nonzero(open_)
 
     def blocks(rows_in_cell):
         return F.array(*[F.lit(max(1, -(-int(n) // block_rows))).cast("long") for n in rows_in_cell])
@@ -136,12 +131,6 @@ def knn_join(
     def upto(n):
         return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
-    t_blocks = F.get(blocks(count), F.col("cell"))
-    q_blocks = F.get(blocks([visited.get(c, 0) for c in range(len(centres))]), F.col("cell"))
-    spread = F.xxhash64("id")
-    left = visits.withColumn("qb", F.pmod(spread, q_blocks)).withColumn("tb", upto(t_blocks))
-    right = cells.select("id", "vec", "cell").withColumn("tb", F.pmod(spread, t_blocks)).withColumn("qb", upto(q_blocks))
-
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "neighbour": b["id"][:0], "dist": np.empty(0)})
@@ -149,12 +138,42 @@ def knn_join(
         r, c, dist = nearest_in_block(qid, _matrix(a["vec"]), tid, _matrix(b["vec"]), k, exclude_self)
         return pd.DataFrame({"id": qid[r], "neighbour": tid[c], "dist": dist})
 
-    keys = ["cell", "tb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        compare, f"id {id_type}, neighbour {id_type}, dist double"
-    )
-    ranked = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
-    return found.withColumn("rank", ranked).filter(F.col("rank") <= k)
+    def compared(rows: DataFrame, cells_of) -> DataFrame:
+        """(id, neighbour, dist): up to k rows per query and block of a visited cell."""
+
+        def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    n = np.bincount(cells_of(pdf)[1], minlength=len(centres))
+                    yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
+
+        def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for start in range(0, len(batch), 1024):
+                    pdf = batch.iloc[start : start + 1024]
+                    r, c = cells_of(pdf)
+                    yield pd.DataFrame({"id": pdf["id"].values[r], "vec": pdf["vec"].values[r], "cell": c.astype("int32")})
+
+        # counted first and found again below: cheaper than writing every visit with its vector
+        per_cell = rows.mapInPandas(count_visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        visited = {r["cell"]: r["n"] for r in per_cell.collect()}
+        visits = rows.mapInPandas(to_visits, f"id {id_type}, vec array<double>, cell int")
+        t_blocks = F.get(blocks(count), F.col("cell"))
+        q_blocks = F.get(blocks([visited.get(c, 0) for c in range(len(centres))]), F.col("cell"))
+        spread = F.xxhash64("id")
+        left = visits.withColumn("qb", F.pmod(spread, q_blocks)).withColumn("tb", upto(t_blocks))
+        right = cells.select("id", "vec", "cell").withColumn("tb", F.pmod(spread, t_blocks)).withColumn("qb", upto(q_blocks))
+        keys = ["cell", "tb", "qb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            compare, f"id {id_type}, neighbour {id_type}, dist double"
+        )
+
+    nearest = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
+    first = stage(compared(queries, own_cell).withColumn("rank", nearest).filter(F.col("rank") <= k), "own_cell")
+    bounds = first.filter(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
+    rest = compared(queries.join(bounds, "id", "left"), other_cells)
+    found = first.drop("rank").unionByName(rest)
+    return found.withColumn("rank", nearest).filter(F.col("rank") <= k)
 
 
 def knn_distance(queries, train, k, id_col, vector, exclude_self=False, **blocks) -> DataFrame:

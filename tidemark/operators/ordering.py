@@ -81,7 +81,8 @@ def hash_cut(
     Returns (group..., n, quota, cut, copy_cut); raises if a quota exceeds its group.
     """
     group = list(group)
-    rows = df.select(*group, order.alias("_h"), (copy if copy is not None else F.lit("")).alias("_c"))
+    # narrow and written once: the counting passes never compute ``df`` again
+    rows = stage(df.select(*group, order.alias("_h"), (copy if copy is not None else F.lit("")).alias("_c")), "hashes")
     cut = _prefix_cut(rows, group, "_h", quota, totals_by if totals_by is not None else group)
     short = cut.filter(F.col("quota") > F.col("n")).select(*group, "n", "quota").limit(20).collect()
     if short:
