@@ -103,13 +103,12 @@ class Network:
     # words -----------------------------------------------------------------------------------------
 
     def _spell(self, words):
-        steps = max(map(len, words))
-        codes = np.zeros((steps, len(words)), np.int64)
-        mask = np.zeros((steps, len(words)), np.float32)
-        for i, w in enumerate(words):
-            codes[: len(w), i] = [ord(c) % CHARS for c in w]
-            mask[: len(w), i] = 1
-        return codes, mask
+        lengths = np.array([len(w) for w in words])
+        codes = np.zeros((lengths.max(), len(words)), np.int64)
+        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes[step, np.repeat(np.arange(len(words)), lengths)] = letters % CHARS
+        return codes, (np.arange(len(codes))[:, None] < lengths).astype(np.float32)
 
     def word_vectors(self, words, keep=False):
         """Embedding and both final character states of each word."""

@@ -23,7 +23,7 @@ TOXIC_ROWS, CLEAN_ROWS = 1000, 2500  # labelled rows that the network learns fro
 TRAIN_CHARS = 20_000  # only labelled texts up to this length are learnt from, so the sample has a bounded size
 VOCABULARY = 20_000  # words with an embedding of their own; the others are known by their characters
 MIN_COUNT = 4
-MEMO = 100_000  # words whose projections a Python worker remembers
+MEMO = 300_000  # words whose projections a Python worker remembers
 BLOCK = 4096  # windows scored at once
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -64,8 +64,13 @@ class Scorer:
         if self.table is None:
             self.table = np.zeros_like(self.network.projections([" "]))  # row 0: no word
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.table = np.concatenate([self.table, self.network.projections(new)])
+            size = len(known) + len(new)
+            if size > len(self.table):  # grown by doubling
+                bigger = np.zeros((max(size, 2 * len(self.table)), self.table.shape[1]), np.float32)
+                bigger[: len(known)] = self.table[: len(known)]
+                self.table = bigger
+            self.table[len(known) : size] = self.network.projections(new)
+            known.update(zip(new, range(len(known), size)))
         return [np.fromiter((known[w] for w in words), np.int32, len(words)) for words in texts]
 
     def worst(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +142,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, clean_r
     return [(r.text, int(r.toxic == 1)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 8, batch: int = 256, seed: int = 0) -> Scorer:
+def train(sample: list[tuple[str, int]], rounds: int = 4, batch: int = 256, seed: int = 0) -> Scorer:
     """Fit the network: windows with their document's label first, then each document's worst windows.
 
     With rows of one class only, or none, every text scores that class's share (a half for none).
