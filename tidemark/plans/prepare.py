@@ -78,7 +78,7 @@ SELECT CASE WHEN l_extendedprice <= 4009617608.96 THEN 'c0' || (len(list_filter(
   CAST(l_orderkey AS VARCHAR) AS f15, CAST(l_partkey AS VARCHAR) AS f16, CAST(l_suppkey AS VARCHAR) AS f17,
   concat_ws('_', year, month, strftime(l_shipdate, '%Y-%m-%d')) AS f18,
   CASE l_linestatus WHEN 'O' THEN 'tcp' ELSE 'udp' END AS f19, year, month
-FROM raw CROSS JOIN (SELECT CAST([EDGES] AS DOUBLE[]) AS e)""".replace("EDGES", EDGES),
+FROM raw CROSS JOIN (SELECT EDGES AS e)""".replace("EDGES", EDGES),
 )
 def scan_raw_log(spark, sf_dir):
     path = new_path(spark, "raw_log")
@@ -298,9 +298,7 @@ def split_assign(spark, sf_dir):
             ("bx", "c0", "(l_extendedprice * 100000)"),
         )
     )
-    + " FROM lineitem CROSS JOIN (SELECT CAST(["
-    + EDGES
-    + "] AS DOUBLE[]) AS e))",
+    + f" FROM lineitem CROSS JOIN (SELECT {EDGES} AS e))",
 )
 def log_bins(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
@@ -450,12 +448,20 @@ def sample_n(spark, sf_dir):
 
 @query(
     "contaminate_train",
-    with_flow("SELECT DISTINCT year, raw_label, cat_status, cat_type, cat_price, num_quantity, num_discount FROM flow WHERE part = 'train' AND year <= 1998 AND raw_label = 1"),
+    with_flow(""",
+sub AS (SELECT *, raw_label = 1 AS inlier FROM flow WHERE part = 'train' AND year <= 1998
+  QUALIFY row_number() OVER (PARTITION BY year, inlier ORDER BY md5('5|' || row_key)) <= CASE WHEN inlier THEN 150 ELSE 50 END),
+mixed AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY year, inlier ORDER BY md5('102|' || row_key)) <= CASE WHEN inlier THEN 150 ELSE 49 END)
+SELECT DISTINCT raw_label, cat_status, cat_type, cat_price, num_quantity, num_discount FROM mixed"""),
 )
 def contaminate_train(spark, sf_dir):
+    """A quarter of anomalies in a prepared subset of 150 + 50 rows a year; copies go across years."""
     train = flow(spark, sf_dir).filter((F.col("part") == "train") & (F.col("year") <= 1998))
-    mixed = sampling.contaminate(train.withColumn("is_outlier", is_outlier(F.col("raw_label"))), 0.0, 102)
-    return rows.drop_null_rows(rows.distinct_first(mixed, ["year", "raw_label", *FEATURES]))
+    train = train.withColumn("is_outlier", is_outlier(F.col("raw_label")))
+    clean = sampling.sample_rows(train.filter("NOT is_outlier"), 150, 5, by=["year"])
+    subset = clean.unionByName(sampling.sample_rows(train.filter("is_outlier"), 50, 5, by=["year"]))
+    mixed = sampling.contaminate(subset, 0.2499, 102)  # 200 rows a year: int(150.02) and int(49.98)
+    return rows.drop_null_rows(rows.distinct_first(mixed, ["raw_label", *FEATURES]))
 
 
 @query("stratified_holdout", with_flow("SELECT row_key, year, raw_label, part FROM flow"))
