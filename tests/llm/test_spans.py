@@ -160,6 +160,39 @@ def test_disclosing_terms(spark):
         assert clean[d] == out + t[at:]
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    """A name far from the address: counted over whole documents, marked at every place; against plain counts."""
+    texts = [prose(i, 60) for i in range(60)]
+    for i in (3, 4, 5, 6):  # near once, far twice, and in the heading only
+        close = "Quux " if i == 3 else ""
+        texts[i] = f"Zorblat {prose(300 + i, 40)} Quux {prose(400 + i, 40)} {close}quentin@mail.example.com {prose(500 + i, 40)} the QUUX"
+    texts[7] = texts[3]
+    texts[8], texts[9] = ("xylo " + prose(8, 40) + " solo@mail.example.com",) * 2  # copies count once
+    texts[10] = "zorblat " + prose(10, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows = personal.personal_spans(docs).collect()
+    got = {(r.doc_id, s.start, s.end, s.action) for r in rows for s in r.all_spans if s.rank == 4}
+    n, address = len(texts), re.compile(r"[a-z]+@mail\.example\.com")
+    held = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    want = set()
+    for e in ("quentin@mail.example.com", "solo@mail.example.com"):
+        of = [d for d, t in enumerate(texts) if e in t]
+        for w in {w for d in of for w in held[d] if len(w) >= 3}:
+            both = [d for d in of if w in held[d]]
+            df = sum(w in h for h in held)
+            ratio = math.log2(n * len(both) / (len(of) * df)) / math.log2(n / len(of))
+            if len({texts[d] for d in both}) >= 2 and ratio >= 0.8:
+                for d in both:
+                    spans = [m.span() for m in address.finditer(texts[d])]
+                    for m in re.finditer(r"[^\W_]+", texts[d]):
+                        if m[0].lower() == w and not any(a <= m.start() < b for a, b in spans):
+                            want.add((d, *m.span(), "remove" if ratio >= 0.95 else "generalise"))
+    assert got == want
+    found = [(d, texts[d][a:b]) for d, a, b, _ in got]
+    assert all(found.count((d, w)) == k for d in (3, 4, 5, 6, 7) for w, k in (("Zorblat", 1), ("QUUX", 1), ("Quux", 2 if d in (3, 7) else 1)))
+    assert not any(d in (8, 9, 10) for d, _ in found)
+
+
 def test_empty_tables(spark):
     assert secrets.secret_spans(empty(spark)).count() == 0
     assert personal.personal_spans(empty(spark)).count() == 0

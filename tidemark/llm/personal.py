@@ -1,10 +1,10 @@
 """Personal data, and the terms that reveal it, with DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected
-entity. Information-theoretic sanitisation: words near a mention are counted over the corpus, and a
-word whose pointwise mutual information with the entity comes close to the entity's own information
-content gives the entity away. Such terms are generalised near the entity, or removed if they
-reveal nearly all of it.
+entity. Information-theoretic sanitisation: the words of the documents that mention an entity are counted
+over the corpus, and a word whose pointwise mutual information with the entity comes close to the entity's
+own information content gives the entity away. Such terms are generalised wherever they stand in a document
+with the entity, or removed if they reveal nearly all of it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 BASE = 4
 DISCLOSES = 0.8  # share of the entity's information from which on a term is generalised
 REVEALS = 0.95  # and from which on it is removed
-CONTEXTS = 2  # different surroundings in which a term must stand by the entity; copies count once
+CONTEXTS = 2  # different texts, or surroundings next to it, in which a term must stand by the entity; copies count once
 
 # fixed values: what is searched. Possessive forms and the tests before them change no match; they keep
 # long runs of one class linear (\G: a match may start where the last one ended)
@@ -58,7 +58,10 @@ def _is_phone(value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(_uid, doc_id, found): base spans (rank, start, end, value, before, after) that pass their tests."""
+    """(_uid, doc_id, found, text): base spans (rank, start, end, value, before, after) that pass their tests.
+
+    ``text`` is kept for rows with spans only.
+    """
     rows = docs.select(column("doc_id").alias("doc_id"), F.coalesce(column("text"), F.lit("")).alias("text"))
     rows = add_spans(rows, "text", EMAIL, "email", F.contains("text", F.lit("@")))
     rows = add_spans(rows, "text", IP, "ip", F.contains("text", F.lit(".")))
@@ -73,13 +76,17 @@ def base_spans(docs: DataFrame) -> DataFrame:
     found = F.concat(
         kept(0, lambda v: F.length(v) > 0), kept(1, _is_ip), kept(2, _is_card), kept(3, _is_phone)
     )
-    return rows.select(F.monotonically_increasing_id().alias("_uid"), "doc_id", found.alias("found"))
+    rows = rows.select(F.monotonically_increasing_id().alias("_uid"), "doc_id", found.alias("found"), "text")
+    return rows.withColumn("text", F.when(F.size("found") > 0, F.col("text")))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """(term, df): documents in which each lower-cased word occurs; combined per task before the shuffle."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce(column("text"), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return docs.select(F.explode(_words(column("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def nearby_terms(mentions: DataFrame) -> DataFrame:
@@ -102,19 +109,82 @@ def nearby_terms(mentions: DataFrame) -> DataFrame:
     return each.select("_uid", "entity", "context", "t.*").filter(F.length("term") >= 3)
 
 
-def disclosure(near: DataFrame, mentions: DataFrame, docs: DataFrame, total: int, contexts: int = CONTEXTS) -> DataFrame:
-    """(entity, term, ratio): PMI of term and entity as a share of the entity's information content."""
-    pairs = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= contexts)
-    together = near.select("entity", "term", "_uid").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+def whole_terms(mentions: DataFrame, texts: DataFrame, df: DataFrame, total: int, discloses: float, contexts: int) -> DataFrame:
+    """(entity, term, _uid, copy): words of three letters or more of each whole document that mentions an entity.
+
+    Left out is only what cannot disclose, or stands in one text alone, where the mention's surroundings decide: entities
+    in one text, terms in one document, and terms in more than n * (of_entity / n)^discloses of the n documents.
+    ``copy``: hash of the text.
+    """
+    least = min(contexts, 2)
+    texts = texts.select("_uid", "text", F.xxhash64(F.lower("text")).alias("copy"))
+    pairs = stage(mentions.select("entity", "_uid").distinct().join(texts.select("_uid", "copy"), "_uid"), "entity_texts")
+    # copies are counted first, so that an entity in many documents is summed up in every task
+    per_copy = pairs.groupBy("entity", "copy").agg(F.count(F.lit(1)).alias("rows"))
+    counts = per_copy.groupBy("entity").agg(F.sum("rows").alias("of_entity"), F.count(F.lit(1)).alias("copies"))
+    n = float(max(total, 1))
+    most = F.lit(n) * F.pow(F.col("of_entity") / n, F.lit(discloses)) * (1 + 1e-9)
+    entities = stage(counts.filter(F.col("copies") >= least).select("entity", "of_entity", most.alias("most")), "entities")
+    highest = entities.agg(F.max("most").alias("m")).first().m
+    pairs = hot_lookup(pairs, entities, "entity", "of_entity", pairs.count()).select("_uid", "copy", "entity", "most")
+    pairs = stage(pairs, "repeated_entities")
+    wanted = pairs.groupBy("_uid").agg(F.max("most").alias("_most"))
+    words = texts.join(wanted, "_uid").select("_uid", "_most", F.explode(_words(F.col("text"))).alias("term"))
+    words = stage(words.filter(F.length("term") >= 3), "entity_words")
+    rare = df.filter((F.col("df") >= least) & (F.col("df") <= F.lit(highest)))
+    used = words.groupBy("term").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") >= least)
+    rare = stage(rare.join(used, "term"), "rare_terms")
+    words = hot_lookup(words, rare, "term", "uses", words.count()).filter("df <= _most").select("_uid", "term", "df")
+    return words.join(pairs, "_uid").filter("df <= most").select("entity", "term", "_uid", "copy")
+
+
+def held_terms(
+    near: DataFrame, mentions: DataFrame, texts: DataFrame, df: DataFrame, total: int, discloses: float = DISCLOSES, contexts: int = CONTEXTS
+) -> DataFrame:
+    """(entity, term, _uid, copy, context): terms of a document with the entity; by whole text (copy) or next to a mention (context)."""
+    none = F.lit(None).cast("long")
+    whole = whole_terms(mentions, texts, df, total, discloses, contexts)
+    beside = near.select("entity", "term", "_uid", "context").distinct()
+    return whole.withColumn("context", none).unionByName(beside.withColumn("copy", none))
+
+
+def disclosure(held: DataFrame, mentions: DataFrame, df: DataFrame, total: int, discloses: float = DISCLOSES, contexts: int = CONTEXTS) -> DataFrame:
+    """(entity, term, ratio, both): PMI of term and entity as a share of the entity's information content, from ``discloses`` on."""
+    # distinct surroundings, texts and documents, each combined in every task before the shuffle
+    kinds = ("context", "copy", "_uid")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("id")) for i, c in enumerate(kinds)]))
+    each = held.select("entity", "term", keys.alias("k")).filter("k.id IS NOT NULL").distinct()
+    counts = [F.count_if(F.col("k.kind") == i).alias(c) for i, c in enumerate(("near", "copies", "both"))]
+    pairs = each.groupBy("entity", "term").agg(*counts)
+    pairs = pairs.filter(F.greatest("near", "copies") >= contexts)
     entities = mentions.select("entity", "_uid").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    pairs = stage(pairs.join(together, ["entity", "term"]).join(entities, "entity"), "pairs")
-    known = pairs.join(document_frequency(docs), "term")
+    known = stage(pairs.join(entities, "entity"), "pairs").join(df, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log2(n * F.col("both") / (F.col("of_entity") * F.col("df")))
     information = F.log2(n / F.col("of_entity"))
     ratio = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
-    return known.select("entity", "term", ratio.alias("ratio"))
+    return known.select("entity", "term", ratio.alias("ratio"), "both").filter(F.col("ratio") >= discloses)
+
+
+def term_places(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """(_uid, start, end, action): every place of a document's ``marks`` (_uid, term, action) outside its base spans."""
+    actions = F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_actions")
+    rows = found.join(marks.groupBy("_uid").agg(actions), "_uid").select("_uid", "found", "text", "_actions")
+    words = F.zip_with(
+        F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+        lambda gap, word: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(word), F.lit(0)).alias("size"), F.lower(word).alias("term")),
+    )
+    places = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
+
+    def step(acc, w):  # one pass over the words; only places of marked ones are kept
+        start, action = acc["at"] + w["gap"], F.try_element_at("_actions", w["term"])
+        place = F.struct(start.alias("start"), (start + w["size"]).alias("end"), action.alias("action"))
+        met = F.when(action.isNull(), acc["met"]).otherwise(F.concat(acc["met"], F.array(place)))
+        return F.struct((start + w["size"]).alias("at"), met.alias("met"))
+
+    met = F.aggregate(words, F.struct(F.lit(0).cast("long").alias("at"), places.alias("met")), step, lambda acc: acc["met"])
+    free = F.filter(met, lambda s: ~F.exists("found", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return rows.select("_uid", F.explode(free).alias("s")).select("_uid", "s.*")
 
 
 def personal_spans(docs: DataFrame, discloses: float = DISCLOSES, reveals: float = REVEALS, contexts: int = CONTEXTS) -> DataFrame:
@@ -130,13 +200,19 @@ def personal_spans(docs: DataFrame, discloses: float = DISCLOSES, reveals: float
     entity = F.concat_ws(":", "s.rank", F.lower("s.value"))
     mentions = mentions.select("_uid", entity.alias("entity"), "s.start", "s.end", "s.before", "s.after")
     near = stage(nearby_terms(mentions), "near")
-    ratios = disclosure(near, mentions, docs, total, contexts).filter(F.col("ratio") >= discloses)
-    uses = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("uses"))
+    texts = found.filter(F.size("found") > 0)
+    df = stage(document_frequency(docs), "document_frequency")
+    held = stage(held_terms(near, mentions, texts, df, total, discloses, contexts), "held_terms")
     key = F.concat_ws("|", "entity", "term").alias("pair")
-    table = stage(ratios.join(uses, ["entity", "term"]).select(key, "ratio", "uses"), "disclosing")
-    met = hot_lookup(near.select("_uid", key, "start", "end"), table, "pair", "uses", near.count())
+    table = stage(disclosure(held, mentions, df, total, discloses, contexts).select(key, "ratio", "both"), "disclosing")
+    of = held.select("_uid", "term", key).distinct()
+    met = hot_lookup(of, table, "pair", "both", held.count())
     action = F.when(F.col("ratio") >= reveals, "remove").otherwise("generalise")
-    met = met.select("_uid", "start", "end", action.alias("action")).groupBy("_uid", "start", "end").agg(F.max("action").alias("action"))
+    marks = met.select("_uid", "term", action.alias("action")).groupBy("_uid", "term").agg(F.max("action").alias("action"))
+    marks = stage(marks, "marks")
+    beside = near.select("_uid", "term", "start", "end").join(marks, ["_uid", "term"]).select("_uid", "start", "end", "action")
+    met = term_places(texts, marks).unionByName(beside)  # a word cut by a base span stands only beside it
+    met = met.groupBy("_uid", "start", "end").agg(F.max("action").alias("action"))
     span = F.struct(F.lit(4).alias("rank"), "start", "end", "action")
     terms = met.groupBy("_uid").agg(F.collect_list(span).alias("terms"))
     base = F.transform(
