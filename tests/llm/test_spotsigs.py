@@ -101,5 +101,29 @@ def test_pairs_of_similar_sets(spark):
     assert len(set(got.values())) == 20
 
 
+def test_chains_of_similar_sets_stay_one_class(spark):
+    """A-B and B-C are alike, A-C are not, and A has rare signatures in common with both; against brute force."""
+    known = {}
+    for k in range(16):
+        at = k * 10_000
+        b, own = set(range(at + 1, at + 37)), set(range(at + 101, at + 105))
+        a = b - set(range(at + 1, at + 5)) | own
+        c = b - set(range(at + 5, at + 9)) | set(range(at + 201, at + 205))
+        for i, s in enumerate((a, b, c)):
+            known[10 * k + i] = s
+        for i in range(3, 9):  # make 1..4 and A's own four common
+            known[10 * k + i] = own | set(range(at + 1, at + 5)) | set(range(at + 1000 * i, at + 1000 * i + 40))
+    root = {i: i for i in known}
+    for i, x in known.items():
+        for j, y in known.items():
+            if len(x & y) / len(x | y) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {n: low if r == high else r for n, r in root.items()}
+    rows = [(i, [f"{v:06d}" for v in sorted(s)]) for i, s in known.items()]
+    sets = spark.createDataFrame(rows, "doc_id long, sigs array<string>")
+    assert {r.doc_id: r.class_id for r in spotsigs.similar_classes(sets, 0.8).collect()} == root
+    assert all(root[10 * k] == root[10 * k + 1] == root[10 * k + 2] for k in range(16))
+
+
 def test_empty_tables(spark):
     assert spotsigs.fingerprint_edits(empty(spark)).count() == 0

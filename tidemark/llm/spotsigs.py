@@ -192,8 +192,8 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     others are partitioned by set length: with the ratio of lengths at least ``similarity``, partners lie in
     the same or the next of geometric length classes. Within these, two sets that are similar share one of
     their rarest signatures (all but the last ceil(similarity * n) - 1 of n). In each group that shares
-    a rare signature all sets are compared with the first one, the shortest; those it takes in leave with it, and the
-    rest go on among themselves until the group is used up.
+    a rare signature all sets are compared with the first one, the shortest; then all others with each other, but for
+    two that the first one took in, as these are in one class already.
     """
     keyed = sets.select("doc_id", "sigs", F.sha2(F.array_join("sigs", ",").cast("binary"), 256).alias("_set"))
     keyed = stage(keyed, "sets")
@@ -208,25 +208,24 @@ def similar_classes(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
     index = ranked.filter(n > 0).select("node", n.alias("n"), level.alias("level"), F.explode(prefix).alias("p"))
     index = index.select("node", "n", F.col("p.sig").alias("sig"), F.explode(F.array("level", F.col("level") + 1)).alias("level"))
     index = stage(index, "rare_signatures")
-    edges, found = None, None
-    while not index.isEmpty():
-        group = W.partitionBy("sig", "level").orderBy("n", "node")
-        pairs = index.select(
-            "sig", "level", "node", "n",
-            F.first("node").over(group.rowsBetween(W.unboundedPreceding, 0)).alias("head"),
-            F.first("n").over(group.rowsBetween(W.unboundedPreceding, 0)).alias("head_n"),
-        )
-        pairs = stage(pairs.filter("node <> head"), "rare_pairs")
-        close = pairs.filter(F.col("head_n") >= F.col("n") * similarity - 1e-9).select("node", "head").distinct()
-        left = distinct.select("node", F.col("sigs").alias("a"))
-        right = distinct.select(F.col("node").alias("head"), F.col("sigs").alias("b"))
-        alike = likeness(F.col("a"), F.col("b")) >= similarity
-        found = stage(close.join(left, "node").join(right, "head").filter(alike).select("node", "head"), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-        # a row that its head took in leaves the group; the head has met every other row and leaves as well
-        index = stage(pairs.join(found, ["node", "head"], "left_anti").select("node", "n", "sig", "level"), "rare_signatures")
-    none = distinct.select("node", F.col("node").alias("head")).limit(0)
-    edges = none if edges is None else edges
+    left = distinct.select("node", F.col("sigs").alias("a"))
+    right = distinct.select(F.col("node").alias("head"), F.col("sigs").alias("b"))
+
+    def alike(close: DataFrame) -> DataFrame:
+        met = close.distinct().join(left, "node").join(right, "head").filter(likeness(F.col("a"), F.col("b")) >= similarity)
+        return stage(met.select("node", "head"), "similar")
+
+    group = W.partitionBy("sig", "level").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
+    first = index.select("sig", "level", "node", "n", F.first("node").over(group).alias("head"), F.first("n").over(group).alias("head_n"))
+    first = stage(first.filter("node <> head"), "rare_pairs")
+    taken = alike(first.filter(F.col("head_n") >= F.col("n") * similarity - 1e-9).select("node", "head"))
+    rows = first.join(taken.withColumn("taken", F.lit(True)), ["node", "head"], "left")
+    rows = rows.select("sig", "level", "node", "n", F.coalesce("taken", F.lit(False)).alias("taken"))
+    rows = stage(rows, "rare_rows")
+    shorter = rows.select("sig", "level", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("taken").alias("head_taken"))
+    close = rows.join(shorter, ["sig", "level"]).filter("head_n < n OR head_n = n AND head < node").filter("NOT (taken AND head_taken)")
+    close = close.filter(F.col("head_n") >= F.col("n") * similarity - 1e-9).select("node", "head").distinct()
+    edges = taken.unionByName(alike(close.join(taken, ["node", "head"], "left_anti")))
     roots = components(edges.select(F.col("node").alias("u"), F.col("head").alias("v")))
     placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = edges.select(F.col("node").alias("e")).unionByName(edges.select(F.col("head").alias("e")))
