@@ -80,7 +80,7 @@ def test_bounds_hold_and_narrow():
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(40, 24)) + 1, rng.normal(size=(300, 24)) + 1
     exact, width = a @ b.T, None
-    for segments in (1, 3, 6, 12, 24):
+    for segments in (1, 2, 6, 12, 24):
         low, high = negatives.bounds(negatives.summaries(a, segments), negatives.summaries(b, segments))
         assert (low <= exact).all() and (exact <= high).all()
         assert width is None or (high - low).mean() < width
@@ -93,7 +93,9 @@ def test_segments_rule_out_rows_before_exact_scoring():
     centres = rng.normal(size=(20, 32)) * 3
     rows = np.floor(256 * np.repeat(centres, 200, axis=0) + 20 * rng.normal(size=(4000, 32)))
     anchors = rows[::400]
-    i, j, score, scored = negatives.top_pairs(anchors, rows, lambda at: np.arange(len(rows)), 5)
+    every = np.full((10, 1), -(2**63)), np.full((10, 1), 2**63 - 1)
+    none = lambda at: np.zeros((10, len(rows[at])), bool)
+    i, _, j, score, scored = negatives.best_in_ranges(anchors, rows, np.arange(len(rows)), none, *every, 5, tile=500)
     assert scored < 0.3 * len(anchors) * len(rows)
     for at in range(len(anchors)):
         want = np.sort(rows @ anchors[at])[::-1][:5]

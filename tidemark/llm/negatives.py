@@ -3,7 +3,7 @@
 A vector is cut into segments; of each, the mean and the deviation are kept. The inner product of two
 vectors lies within the sum over segments of (length * product of means) plus or minus (product of
 deviations). Anchors are compared with all rows block by block: coarse segments give bounds for every
-row, rows whose bounds rule them out go, the rest is bounded again with segments half as long, and
+row, rows whose bounds rule them out go, the rest is bounded again with shorter segments, and
 only what is left in the end is scored exactly. Blocks return a bounded number of rows per anchor.
 """
 
@@ -24,6 +24,8 @@ SEGMENTS = (4, 16, 32)  # segments a vector is cut into, coarse to fine
 EXACT = 2.0**53  # below it sums of integers in doubles are exact
 ANCHOR_BLOCK = 512
 ROW_BLOCK = 16384
+TILE = 2048  # rows of a block bounded at once
+TOP = np.iinfo(np.int64).max
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -56,67 +58,24 @@ def summaries(m: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * np.sqrt(length), spread
 
 
-def bounds(a: tuple, b: tuple, pairs: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest possible inner products of rows of ``a`` and ``b``, all with all or at ``pairs`` of indices."""
-    if pairs is None:
-        middle, reach = a[0] @ b[0].T, a[1] @ b[1].T
-    else:
-        i, j = pairs
-        middle, reach = (np.einsum("ij,ij->i", x[i], y[j]) for x, y in zip(a, b))
-    slack = 1e-9 * (np.abs(middle) + reach) + 1e-6  # rounding of the summaries
-    return middle - reach - slack, middle + reach + slack
+def bounds(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest possible inner product of every row of ``a`` with every row of ``b``."""
+    middle, reach = a[0] @ b[0].T, a[1] @ b[1].T
+    reach += 1e-9 * (np.abs(middle) + reach) + 1e-6  # rounding of the summaries
+    return middle - reach, middle + reach
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
     """Integer inner products of the pairs; scores beyond 64 bits are an error."""
-    out = np.empty(len(i), np.int64)
+    if not len(i):
+        return np.zeros(0, np.int64)
     most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(a.shape[1], 1)
-    for at in range(0, len(i), chunk):
-        x, y = a[i[at : at + chunk]], b[j[at : at + chunk]]
-        if most < EXACT:
-            out[at : at + chunk] = np.einsum("ij,ij->i", x, y).astype(np.int64)
-        else:
-            out[at : at + chunk] = [sum(int(p) * int(q) for p, q in zip(r, s)) for r, s in zip(x, y)]
-    return out
-
-
-def _kth_largest(values: np.ndarray, k: int) -> float:
-    return -np.inf if len(values) < k else float(np.partition(values, len(values) - k)[len(values) - k])
-
-
-def top_pairs(anchors: np.ndarray, rows: np.ndarray, allowed, k: int, segments=SEGMENTS, floors=None, ceilings=None):
-    """(anchor, row, score) of every pair that can be among the ``k`` best scores of its anchor; also the pairs scored.
-
-    ``allowed(i)``: the rows that anchor i may take. ``floors``, ``ceilings``: scores lie within them, per anchor.
-    A pair goes if its bounds lie outside, or if k other rows surely score more and within the ceiling.
-    """
-    n = len(anchors)
-    floors = np.full(n, -np.inf) if floors is None else floors
-    ceilings = np.full(n, np.inf) if ceilings is None else ceilings
-    mine = [summaries(anchors, s) for s in segments]
-    theirs = [summaries(rows, s) for s in segments]
-    found, scored = [], 0
-    low_all, high_all = bounds(mine[0], theirs[0])
-    for i in range(n):
-        left = allowed(i)
-        low, high = low_all[i, left], high_all[i, left]
-        for level in range(len(segments)):
-            if level:
-                low, high = bounds(mine[level], theirs[level], (np.full(len(left), i), left))
-            sure = low[high <= ceilings[i]]
-            cut = max(floors[i], _kth_largest(sure, k))
-            stays = (high >= cut) & (low <= ceilings[i])
-            left = left[stays]
-            if len(left) <= k:
-                break
-        scored += len(left)
-        score = exact_scores(anchors, rows, np.full(len(left), i), left)
-        keep = (score >= floors[i]) & (score <= ceilings[i])
-        left, score = left[keep], score[keep]
-        keep = score >= _kth_largest(score, k)
-        found.append((np.full(int(keep.sum()), i), left[keep], score[keep]))
-    parts = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-    return (*parts, scored)
+    if most < EXACT:  # whole numbers below 2^53: exact in any order of summing
+        if len(i) * 8 > len(a) * len(b):
+            return (a @ b.T)[i, j].astype(np.int64)
+        parts = [np.einsum("ij,ij->i", a[i[at : at + chunk]], b[j[at : at + chunk]]) for at in range(0, len(i), chunk)]
+        return np.concatenate(parts).astype(np.int64)
+    return np.array([sum(int(p) * int(q) for p, q in zip(a[x], b[y])) for x, y in zip(i, j)], np.int64)
 
 
 def first_k(owner: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -127,6 +86,46 @@ def first_k(owner: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
+def best_in_ranges(anchors, rows, ids, excluded, floors, ceilings, k: int, segments=SEGMENTS, tile: int = TILE):
+    """(anchor, range, row, score) of the first ``k`` rows of every range of scores of every anchor; and the pairs scored.
+
+    ``floors``, ``ceilings``: one column per range. ``excluded(slice)``: matrix of pairs that don't count. Rows are taken tile
+    by tile. Once a range has k rows, a row must reach the worst of them: pairs whose bounds rule out every range
+    of the anchor go at the coarsest segments that show it, the rest is bounded again, and what is left is scored.
+    """
+    n, ranges = floors.shape
+    mine = [summaries(anchors, s) for s in segments]
+    least = floors.copy()  # the score a new row has to reach
+    held = [[np.zeros(0, np.int64)] * 3 for _ in range(ranges)]  # anchor, row, score
+    scored, highest = 0, ceilings.max(axis=1).astype(np.float64)[:, None]
+    for start in range(0, len(rows), tile):
+        place = slice(start, min(start + tile, len(rows)))
+        part = rows[place]
+        lowest = np.where(floors <= ceilings, least, TOP).min(axis=1).astype(np.float64)[:, None]
+        stays = ~excluded(place)
+        for level, size in enumerate(segments):
+            low, high = bounds(mine[level], summaries(part, size))
+            stays &= (high >= lowest) & (low <= highest)
+            if not stays.any():
+                break
+        i, j = np.nonzero(stays)
+        scored += len(i)
+        score = exact_scores(anchors, part, i, j)
+        j += start
+        for r in range(ranges):
+            use = (score >= least[i, r]) & (score <= ceilings[i, r])
+            own, row, value = (np.concatenate(c) for c in zip(held[r], (i[use], j[use], score[use])))
+            first = first_k(own, ids[row], value, k)
+            own, row, value = own[first], row[first], value[first]
+            held[r] = [own, row, value]
+            full = np.bincount(own, minlength=n) >= k
+            worst = np.full(n, TOP)
+            np.minimum.at(worst, own, value)
+            least[full, r] = worst[full]
+    own, row, value = (np.concatenate([h[c] for h in held]) for c in range(3))
+    return own, np.repeat(np.arange(ranges), [len(h[0]) for h in held]), row, value, scored
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
@@ -174,10 +173,8 @@ def positives(anchors: DataFrame, rows: DataFrame, k: int = POSITIVES, anchor_bl
             return pd.DataFrame(columns=names)
         x, y = _together(a["vec"], b["vec"])
         aid, bid = a["id"].to_numpy(), b["id"].to_numpy()
-        places = np.arange(len(b))
-        i, j, score, _ = top_pairs(x, y, lambda at: places[bid != aid[at]], k)
-        keep = first_k(i, bid[j], score, k)
-        i, j, score = i[keep], j[keep], score[keep]
+        every = np.full((len(a), 1), -TOP - 1), np.full((len(a), 1), TOP)
+        i, _, j, score, _ = best_in_ranges(x, y, bid, lambda at: aid[:, None] == bid[None, at], *every, k)
         return pd.DataFrame({"anchor_id": aid[i], "positive_id": bid[j], "positive_score": score, "label": a["label"].iloc[0]})
 
     pairs = _compared(left, right, ["label", "ab", "rb"], compare, "anchor_id long, positive_id long, positive_score long, label long")
@@ -212,19 +209,16 @@ def negatives(
             return pd.DataFrame(columns=names)
         x, y = _together(a["vec"], b["vec"])
         labels, own, bid = b["label"].to_numpy(), a["label"].to_numpy(), b["id"].to_numpy()
-        other = {value: np.flatnonzero(labels != value) for value in np.unique(own)}
-        # one row per (anchor, positive), each with its own range of scores: in integers, so no bound is rounded
-        of = np.repeat(np.arange(len(a)), a["chosen"].map(len))
-        flat = [c for each_ in a["chosen"] for c in each_]
-        pid, ps = (np.array([c[n] for c in flat], np.int64) for n in ("positive_id", "positive_score"))
-        floors = np.array([-(-low * int(s) // 100) for s in ps], np.int64)
-        ceilings = np.array([high * int(s) // 100 for s in ps], np.int64)
-        use = np.flatnonzero(floors <= ceilings)  # a negative score has no range
-        i, j, score, _ = top_pairs(x[of[use]], y, lambda at: other[own[of[use[at]]]], k, floors=floors[use], ceilings=ceilings[use])
-        keep = first_k(i, bid[j], score, k)
-        i, j, score = use[i[keep]], j[keep], score[keep]
-        aid = a["id"].to_numpy()[of[i]]
-        return pd.DataFrame(dict(zip(names, (aid, pid[i], ps[i], bid[j], score))))
+        # a range of scores per positive, in integers, so no limit is rounded; an anchor with fewer has empty ranges
+        ranges = a["chosen"].map(len).max()
+        floors, ceilings = np.ones((len(a), ranges), np.int64), np.zeros((len(a), ranges), np.int64)
+        pid, ps = np.zeros((2, len(a), ranges), np.int64)
+        for n, chosen_ in enumerate(a["chosen"]):
+            for r, c in enumerate(chosen_):
+                pid[n, r], ps[n, r] = c["positive_id"], c["positive_score"]
+                floors[n, r], ceilings[n, r] = -(-low * int(ps[n, r]) // 100), high * int(ps[n, r]) // 100
+        i, r, j, score, _ = best_in_ranges(x, y, bid, lambda at: own[:, None] == labels[None, at], floors, ceilings, k)
+        return pd.DataFrame(dict(zip(names, (a["id"].to_numpy()[i], pid[i, r], ps[i, r], bid[j], score))))
 
     pairs = _compared(left, right, ["ab", "rb"], compare, ", ".join(f"{n} long" for n in names))
     best = W.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
