@@ -37,10 +37,22 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; they must be as ``stage`` returned them."""
+    for table in tables:
+        _delete(table.sparkSession, table._staged_at)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table this application staged."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, staging_root(spark))
