@@ -57,8 +57,9 @@ def plain_mix(rows, budget_share, entropy_share, limit, blocks=64, seed=7):
             keyed = [(hashlib.md5(f"{seed}|{epoch}|{'' if r[0] is None else r[0]}|{r[2]}".encode()).hexdigest(), r) for r in rs]
             for key, r in keyed:
                 place = epoch * totals[s] + sum(x[2] for k, x in keyed if k <= key)
-                if place <= quota:
-                    out.append((r[0], s, epoch, r[2], place, (place - r[2]) * blocks // quota))
+                start = epoch * totals[s] + sum(x[2] for k, x in keyed if k < key)
+                if start < quota:  # the document in which the quota ends is used
+                    out.append((r[0], s, epoch, r[2], place, start * blocks // quota))
     return out
 
 
@@ -108,3 +109,15 @@ def test_empty_tables(spark):
     tokens = mixing.word_tokens(column("text"))
     assert mixing.mix(empty(spark), tokens).count() == 0
     assert mixing.mixed_documents(empty(spark), tokens).count() == 0
+
+
+def test_no_source_is_lost_to_a_long_document(spark):
+    rows = [(0, "long", "w " * 5000)] + [(i, "big", "w " * 999) for i in range(1, 1001)] + [(2000, "two", "w " * 700), (2001, "two", "w " * 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tokens = mixing.word_tokens(F.col("text"))
+    kept = mixing.mixed_documents(docs, tokens, budget_share=0.9, entropy_share=None, max_repeats=1.0)
+    used = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert len(used) == len(set(used)) and {0, 2000, 2001} <= set(used)
+    assert 890 <= len(used) <= 903
+    mixed = mixing.mix(docs, tokens, budget_share=0.9, entropy_share=None, max_repeats=1.0)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(used)

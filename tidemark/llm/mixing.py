@@ -112,7 +112,7 @@ def _order(seed: int, epoch: Column) -> Column:
 
 
 def permuted_stream(rows: DataFrame, quotas: DataFrame, total: int, seed: int) -> DataFrame:
-    """Every epoch that a quota reaches into, each row with ``place``: tokens of its source's stream up to and with it.
+    """Every epoch that a quota reaches into, each row with ``start`` and ``place``: tokens of its source's stream before and with it.
 
     A permutation is cut into slices by hash prefix. Rows are ordered within a slice, slices within a
     run of 1024 slices, and runs within the source, so no step orders a whole source in one task.
@@ -139,8 +139,10 @@ def permuted_stream(rows: DataFrame, quotas: DataFrame, total: int, seed: int) -
 
     inside = W.partitionBy("_source", "epoch", "slice").orderBy("order")  # rows with one key count together
     placed = met.withColumn("inside", F.sum("tokens").over(inside)).join(offsets, ["_source", "epoch", "slice"])
+    peers = F.sum("tokens").over(W.partitionBy("_source", "epoch", "slice", "order"))
     place = F.col("epoch") * F.col("all_tokens") + F.col("at") + F.col("inside")
-    return placed.withColumn("place", place).drop("slice", "run", "at", "inside")
+    placed = placed.withColumn("place", place).withColumn("start", F.col("place") - peers)
+    return placed.drop("slice", "run", "at", "inside")
 
 
 def _narrow(docs: DataFrame, tokens: Column, source: str) -> DataFrame:
@@ -161,15 +163,16 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, epoch, tokens, place, block): one row for each time a document is used.
 
-    ``place`` is the source's tokens up to and with this use; it never exceeds the quota, so each source
-    ends less than one document short of it. ``tokens`` is at least 1 per row. Null is a source of its own.
-    Rows equal in id and token count share their place and are used together. Extra columns are ignored.
+    ``place`` is the source's tokens up to and with this use. The document in which the quota ends is used whole,
+    so a source is never lost to a long document and exceeds its quota by less than that one. ``tokens`` is at least 1
+    per row. Null texts have one token, null is a source of its own. Rows equal in id and token count share their place
+    and are used together. Extra columns are ignored; an empty table gives no rows.
     """
     rows = stage(_narrow(docs, tokens, source), "mix")
     total = rows.count()
     quotas = stage(source_quotas(rows, budget_share, entropy_share, max_repeats), "quotas")
-    used = permuted_stream(rows, quotas, total, seed).filter("place <= quota")
-    block = F.expr(f"((place - tokens) * {blocks}) div quota")
+    used = permuted_stream(rows, quotas, total, seed).filter("start < quota")
+    block = F.expr(f"(start * {blocks}) div quota")
     name = F.when(F.col("_source") == "", F.lit(None)).otherwise(F.expr("substring(_source, 2)"))
     return used.select("doc_id", name.alias("source"), "epoch", "tokens", "place", block.alias("block"))
 
@@ -186,7 +189,7 @@ def mixed_documents(
     """The rows of ``docs`` that the mix uses, columns unchanged, each as often as it is used.
 
     The texts are not shuffled: per source, the number of whole epochs and the last key used of the
-    part epoch say how often a row is used.
+    part epoch say how often a row is used. Nulls, ties, repeated rows and empty tables as in ``mix``.
     """
     rows = stage(_narrow(docs, tokens, source), "mix")
     total = rows.count()
@@ -194,7 +197,7 @@ def mixed_documents(
     whole = F.floor(F.col("quota") / F.col("tokens")).alias("whole")
     plan = quotas.select("_source", "rows", whole)
     stream = permuted_stream(rows, quotas, total, seed)
-    part = stream.filter("place <= quota AND epoch = floor(quota / all_tokens)")
+    part = stream.filter("start < quota AND epoch = floor(quota / all_tokens)")
     cuts = part.groupBy("_source").agg(F.max("order").alias("cut"))
     plan = stage(plan.join(cuts, "_source", "left"), "plan")
     keyed = docs.select(
@@ -244,8 +247,9 @@ u AS (
   SELECT doc_id, k, epoch, tokens, t, quota, q.source AS source,
     md5('7|' || epoch || '|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || tokens) AS o
   FROM (SELECT *, unnest(range(0, CAST((quota - 1) // t AS BIGINT) + 1)) AS epoch FROM q WHERE quota > 0) q JOIN d USING (k)),
-p AS (SELECT *, epoch * t + CAST(sum(tokens) OVER (PARTITION BY k, epoch ORDER BY o) AS BIGINT) AS place FROM u)
-SELECT doc_id, source, epoch, tokens, place, ((place - tokens) * 64) // quota AS block FROM p WHERE place <= quota"""
+p AS (SELECT *, epoch * t + CAST(sum(tokens) OVER (PARTITION BY k, epoch ORDER BY o) AS BIGINT) AS place,
+  CAST(sum(tokens) OVER (PARTITION BY k, epoch, o) AS BIGINT) AS peers FROM u)
+SELECT doc_id, source, epoch, tokens, place, ((place - peers) * 64) // quota AS block FROM p WHERE place - peers < quota"""
 
 
 @query("op8_mixing", MIX_SQL)
