@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.llm.tables import empty, odd, odd_rows
 from tidemark.llm import exact, simhash
 from tidemark.llm.components import components
+from tidemark.sources import staging
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -152,7 +153,24 @@ def test_near_dedup_keeps_one_row_per_component(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.range(1, 500).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
-    edges = edges.unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000), (7, 7)], "u long, v long"))
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(500)}, 1000: 1000, 1001: 1000}
+    n = 10_000
+    edges = spark.range(1, n).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    odd_edges = [(n + 1, n + 2), (n + 2, n + 1), (7, 7)] + [(2 * n, 2 * n + i) for i in range(1, 400)]
+    edges = edges.unionByName(spark.createDataFrame(odd_edges, "u long, v long"))
+    rounds = []
+    got = {r.node: r.root for r in components(edges, rounds).collect()}
+    star = {2 * n + i: 2 * n for i in range(400)}
+    assert got == {**{i: 0 for i in range(n)}, n + 1: n + 1, n + 2: n + 1, **star}
+    assert len(rounds) <= 20
+
+
+def test_components_keep_no_table_of_an_earlier_round(spark):
+    before = len(staged(spark))
+    edges = spark.range(1, 60).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    components(edges).count()
+    assert len(staged(spark)) - before <= 4  # the last edges, nodes and names
+
+
+def staged(spark):
+    root = spark._jvm.org.apache.hadoop.fs.Path(staging.staging_root(spark))
+    return list(root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
