@@ -3,13 +3,14 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.tables import empty, odd, odd_rows, prose
 from tidemark.llm import personal, secrets
-from tidemark.llm.common import prefix_sums
+from tidemark.llm.common import CHUNK, prefix_sums
 
 
 def secret_base(t):
@@ -85,6 +86,22 @@ def test_prefix_sums_of_long_arrays(spark):
     assert spark.range(1).select(prefix_sums(F.array().cast("array<int>")).alias("s")).first().s == []
 
 
+def test_prefix_sums_beyond_every_chunk(spark):
+    for n in (CHUNK, CHUNK + 1, CHUNK**2, CHUNK**2 + 1):
+        got = spark.range(1).select(prefix_sums(F.sequence(F.lit(1), F.lit(n))).alias("s")).first().s
+        assert got == [k * (k + 1) // 2 for k in range(1, n + 1)]
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 addresses in one text: positions are found in linear work, and the digests are those of the base spans."""
+    text = " ".join(f"u{i}@h{i}.example.com 10.0.{i // 250}.{i % 250} token=abcd{i:06d}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "u7@h7.example.com alone", "s")], "doc_id long, text string, source string")
+    start = time.time()
+    for got, base in ((secrets.secret_spans(docs), secret_base), (personal.personal_spans(docs), personal_base)):
+        assert {r.doc_id: r.base_sha256 for r in got.collect()}[1] == digest(base(text))
+    assert time.time() - start < 120
+
+
 def test_ownership_separates_examples_from_live_secrets(spark):
     rows = [(i, f"owner{i % 4}", 'token = "abcd1234efgh5678"') for i in range(12)]
     rows += [(20, "owner0", "token=zq91yk82xv73 ghp_" + "a1B2" * 10), (21, "owner0", "token=zq91yk82xv73"), (22, "owner9", "password=changeme")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 HOT_KEYS = 1000  # a key with more than 1/HOT_KEYS of the rows is hot, so there are fewer hot keys than this
-CHUNK = 256  # array elements summed naively by prefix_sums
+CHUNK = 128  # array elements of one fold
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,31 +54,48 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
     return inner.unionByName(rest)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it, lambdas included."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunks(values: Column, size: int = CHUNK) -> Column:
+    """The array cut into arrays of ``size``; of an empty one, one empty array."""
+    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * size + 1, F.lit(size)))
+
+
 def prefix_sums(values: Column) -> Column:
-    """Array of sums of all elements up to and including each one; work is n * CHUNK, not n * n."""
+    """Array of sums of all elements up to and including each one, in linear work.
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    Each chunk is one running fold, which appends to a short array; the chunks' totals are summed up the same way.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
 
-    def naive(a: Column, before: Column) -> Column:
-        return F.transform(a, lambda _, i: before + total(F.slice(a, F.lit(1), i + 1)))
+    def running(a: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("sums"))
 
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CHUNK).cast("int")),
-        lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)),
-    )
-    return F.when(F.size(values) == 0, F.array().cast("array<long>")).when(
-        F.size(values) <= CHUNK, naive(values, F.lit(0).cast("long"))
-    ).otherwise(
-        F.flatten(
-            F.transform(
-                pieces,
-                lambda piece, c: naive(
-                    piece,
-                    F.aggregate(
-                        F.slice(pieces, F.lit(1), c), F.lit(0).cast("long"), lambda s, p: s + total(p)
-                    ),
-                ),
-            )
-        )
-    )
+        def step(s: Column, x: Column) -> Column:
+            at = s["at"] + x
+            return F.struct(at.alias("at"), F.concat(s["sums"], F.array(at)).alias("sums"))
+
+        return F.aggregate(a, start, step)
+
+    def level(a: Column, depth: int) -> Column:
+        if not depth:
+            return running(a)["sums"]
+
+        def moved(folded: Column) -> Column:
+            def shift(ends: Column) -> Column:
+                return F.flatten(
+                    F.transform(folded, lambda f, i: F.transform(f["sums"], lambda x: x + F.get(ends, i) - f["at"]))
+                )
+
+            return bound(level(F.transform(folded, lambda f: f["at"]), depth - 1), shift)
+
+        return bound(F.transform(chunks(a), running), moved)
+
+    def sized(a: Column) -> Column:  # up to CHUNK^3 elements no fold is longer than CHUNK
+        return F.when(F.size(a) <= CHUNK, running(a)["sums"]).when(F.size(a) <= CHUNK**2, level(a, 1)).otherwise(level(a, 2))
+
+    return bound(values, sized)

@@ -9,9 +9,9 @@ with the entity, or removed if they reveal nearly all of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import column, documents, hot_lookup
+from tidemark.llm.common import bound, chunks, column, documents, hot_lookup, prefix_sums
 from tidemark.llm.registry import query
 from tidemark.llm.spans import add_spans, joined, kind_count
 from tidemark.sources.staging import stage
@@ -20,6 +20,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 BASE = 4
 DISCLOSES = 0.8  # share of the entity's information from which on a term is generalised
 REVEALS = 0.95  # and from which on it is removed
+WORDS = 1024  # words of a text looked up in one fold
 CONTEXTS = 2  # different texts, or surroundings next to it, in which a term must stand by the entity; copies count once
 
 # fixed values: what is searched. Possessive forms and the tests before them change no match; they keep
@@ -182,9 +183,25 @@ def term_places(found: DataFrame, marks: DataFrame) -> DataFrame:
         met = F.when(action.isNull(), acc["met"]).otherwise(F.concat(acc["met"], F.array(place)))
         return F.struct((start + w["size"]).alias("at"), met.alias("met"))
 
-    met = F.aggregate(words, F.struct(F.lit(0).cast("long").alias("at"), places.alias("met")), step, lambda acc: acc["met"])
-    free = F.filter(met, lambda s: ~F.exists("found", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("_uid", F.explode(free).alias("s")).select("_uid", "s.*")
+    def fold(piece):
+        return F.aggregate(piece, F.struct(F.lit(0).cast("long").alias("at"), places.alias("met")), step)
+
+    # each chunk of words is a fold of its own, so no long array is copied word by word
+    rows = rows.withColumn("_folds", bound(words, lambda w: F.transform(chunks(w, WORDS), fold)))
+    rows = rows.withColumn("_ends", prefix_sums(F.transform("_folds", lambda f: f["at"])))
+    each = rows.select("_uid", F.posexplode("_folds").alias("_i", "_f"), "_ends")
+    moved = F.get("_ends", F.col("_i")) - F.col("_f.at")
+    each = each.select("_uid", moved.alias("_by"), F.explode("_f.met").alias("s"))
+    met = each.select("_uid", (F.col("s.start") + F.col("_by")).alias("start"), (F.col("s.end") + F.col("_by")).alias("end"), "s.action")
+    # free of base spans: those that start before a place end there, those after start behind it
+    base = rows.select("_uid", F.explode("found").alias("b")).select("_uid", "b.start", "b.end", F.lit(None).cast("string").alias("action"))
+    order = W.partitionBy("_uid").orderBy("start", "end")
+    is_base = F.col("action").isNull()
+    both = met.unionByName(base)
+    both = both.withColumn("_until", F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    both = both.withColumn("_next", F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing)))
+    free = (F.coalesce("_until", "start") <= F.col("start")) & (F.coalesce("_next", "end") >= F.col("end"))
+    return both.filter(~is_base & free).select("_uid", "start", "end", "action")
 
 
 def personal_spans(docs: DataFrame, discloses: float = DISCLOSES, reveals: float = REVEALS, contexts: int = CONTEXTS) -> DataFrame:
