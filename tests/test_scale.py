@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import centre, forest, metrics, neighbours, ordering, tails
+from tidemark.operators import centre, metrics, neighbours, ordering, tails
 from tidemark.operators.ordering import join_same, keep_lowest, running_totals
 from tidemark.operators.sampling import shuffle_rows
 
@@ -167,39 +167,6 @@ def test_pca_error_against_svd(spark):
     assert [r["score"] for r in sorted(got, key=lambda r: r["id"])] == pytest.approx(list(want))
 
 
-def test_forest_isolates_a_far_point(spark):
-    rng = np.random.default_rng(4)
-    x = np.vstack([rng.normal(size=(400, 2)), [[12.0, -12.0]]])
-    df = spark.createDataFrame([(f"r{i}", float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, a double, b double")
-    nodes = forest.fit_forest(df, ["a", "b"], "k", trees=25, sample=64)
-    sizes = {r["tree"]: r["size"] for r in nodes.filter("node = 1").collect()}
-    assert sizes == {t: 64 for t in range(25)}
-    scored = {r["k"]: r["score"] for r in forest.forest_score(df, ["a", "b"], nodes).collect()}
-    assert max(scored, key=scored.get) == "r400"
-    # the same scores by walking each tree row by row
-    table = {(r["tree"], r["node"]): r for r in nodes.collect()}
-    for i in (0, 17, 400):
-        paths = []
-        for t in range(25):
-            node = 1
-            while table[(t, node)]["feature"] >= 0:
-                r = table[(t, node)]
-                node = 2 * node + (x[i][r["feature"]] >= r["threshold"])
-            paths.append(table[(t, node)]["path"])
-        assert scored[f"r{i}"] == pytest.approx(2 ** (-np.mean(paths) / float(forest.average_path(64))))
-
-
-def test_forest_does_not_depend_on_partitions(spark, partitions):
-    df = spark.createDataFrame([(f"r{i}", float(i % 17), float(i % 5)) for i in range(300)], "k string, a double, b double")
-
-    def scores(n):
-        partitions(n)
-        out = forest.isolation_forest(df.repartition(n), df.repartition(n), ["a", "b"], "k", trees=7, sample=32)
-        return {r["k"]: r["score"] for r in out.collect()}
-
-    assert scores(1) == scores(7)
-
-
 @pytest.mark.parametrize("rule", ["ecod", "copod"])
 def test_tail_scores_equal_one_hot_expansion(spark, rule):
     """The indicator shortcut gives the score of the written-out 0/1 columns."""

@@ -58,6 +58,18 @@ def contaminate(
     return keep_lowest(df, [*by, outlier], wanted, seeded_hash(seed, key), _copy(copy), totals_by=list(by))
 
 
+def with_share(df: DataFrame, share: float, seed, outlier="is_outlier", by=("year",), key="row_key", copy="copy_id") -> DataFrame:
+    """Per group the largest sample in which just over ``share`` of the rows are anomalies; its size grows with the group.
+
+    All rows of the scarcer class stay: all clean rows with ``ceil(clean * share / (1 - share))`` anomalies, or, with fewer
+    anomalies than that, all of them with ``floor(anomalies * (1 - share) / share)`` clean rows.
+    """
+    odds = share / (1.0 - share)
+    other = F.col("n_total") - F.col("n")
+    quota = F.when(F.col(outlier), F.ceil(other * F.lit(odds))).otherwise(F.floor(other / F.lit(odds)))
+    return keep_lowest(df, [*by, outlier], F.least(F.col("n"), quota), seeded_hash(seed, key), _copy(copy), totals_by=list(by))
+
+
 def train_val_split(df: DataFrame, share: float, seed, key="row_key", copy="copy_id") -> DataFrame:
     """Add ``part`` with ``ceil(n * share)`` validation rows."""
     quota = F.ceil(F.col("n") * F.lit(float(share)))

@@ -265,13 +265,50 @@ def pca_reconstruction(spark, sf_dir):
     return rounded(scored.select("vec_id", "label", "score"), "score")
 
 
-@query("isolation_forest")
+TREES, HEIGHT = forest.TREES, forest.HEIGHT
+
+
+def forest_body(trees: int = TREES, height: int = HEIGHT, seed: int = forest.SEED) -> str:
+    """Every row of both tables walks through every tree, one named query per level; the train rows make the splits."""
+    xs = [f"x{i}" for i in range(len(NUM))]
+    unit = lambda at: f"(('0x' || substr(md5('{seed}|' || tree || '|' || node), {at}, 8))::BIGINT) / 4294967296.0::DOUBLE"
+    c = lambda n: f"CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0::DOUBLE) + {forest.EULER}) - 2.0 * ({n} - 1.0::DOUBLE) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    values = ", ".join(f"{c_} AS x{i}" for i, c_ in enumerate(NUM))
+    ends = ", ".join(f"min({x}) AS lo{i}, max({x}) AS hi{i}" for i, x in enumerate(xs))
+    wide = ", ".join(f"CASE WHEN hi{i} > lo{i} THEN {{'f': {i}, 'lo': lo{i}, 'hi': hi{i}}} END" for i in range(len(xs)))
+    value = "CASE f " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    out = [
+        f""",
+fr AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (
+  SELECT NULL AS row_key, TRUE AS tr, {values} FROM train UNION ALL SELECT row_key, FALSE, {values} FROM test)),
+w0 AS MATERIALIZED (SELECT id, CAST(tree AS INTEGER) AS tree, 1 AS node FROM fr CROSS JOIN range({trees}) r(tree))"""
+    ]
+    for d in range(height + 1):
+        split = "NULL" if d == height else f"w[1 + CAST(floor({unit(1)} * len(w)) AS INTEGER)]"
+        out.append(
+            f""",
+n{d} AS MATERIALIZED (SELECT tree, node, n, s.f AS f,
+    CASE WHEN s.lo + u * (s.hi - s.lo) > s.lo THEN s.lo + u * (s.hi - s.lo) ELSE s.hi END AS t, {d} + {c("n")} AS path
+  FROM (SELECT tree, node, n, {split if d < height else "CAST(NULL AS STRUCT(f INTEGER, lo DOUBLE, hi DOUBLE))"} AS s, {unit(9)} AS u
+    FROM (SELECT tree, node, n, list_filter([{wide}], lambda e: e IS NOT NULL) AS w
+      FROM (SELECT tree, node, count(*) AS n, {ends} FROM w{d} JOIN fr USING (id) WHERE tr GROUP BY tree, node)))),
+w{d + 1} AS MATERIALIZED (SELECT id, tree, CAST(2 * node + CASE WHEN {value} >= t THEN 1 ELSE 0 END AS INTEGER) AS node
+  FROM w{d} JOIN n{d} USING (tree, node) JOIN fr USING (id) WHERE f IS NOT NULL)"""
+        )
+    paths = " UNION ALL ".join(
+        f"SELECT id, path FROM w{d} JOIN n{d} USING (tree, node) WHERE f IS NULL" for d in range(height + 1)
+    )
+    return "".join(out) + f""",
+fc AS (SELECT {c("n")} AS c FROM (SELECT count(*) AS n FROM train))
+SELECT row_key, round(pow(2.0, -sum(path) / {trees} / greatest(max(c), 1e-12)), 6) AS score
+FROM ({paths}) JOIN fr USING (id) CROSS JOIN fc WHERE NOT tr GROUP BY id, row_key"""
+
+
+@query("isolation_forest", with_flow(forest_body()))
 def isolation_forest(spark, sf_dir):
     base = flow(spark, sf_dir)
-    train = training(base).select("row_key", "copy_id", *NUM)
-    test = testing(base).select("row_key", "year", "split", "label", *NUM)
-    scored = forest.isolation_forest(train, test, NUM, "row_key", "copy_id")
-    return rounded(scored.select("row_key", "year", "split", "label", "score"), "score")
+    scored = forest.isolation_forest(training(base).select(*NUM), testing(base).select("row_key", *NUM), NUM)
+    return rounded(scored.select("row_key", "score"), "score")
 
 
 D = 64

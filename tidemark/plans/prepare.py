@@ -446,21 +446,26 @@ def sample_n(spark, sf_dir):
     return sampling.sample_rows(flow(spark, sf_dir), 300, 46, ["year"]).select("row_key", "year")
 
 
+SHARE = 0.25  # anomalies in the contaminated train rows
+
+
 @query(
     "contaminate_train",
-    with_flow(""",
-sub AS (SELECT *, raw_label = 1 AS inlier FROM flow WHERE part = 'train' AND year <= 1998
-  QUALIFY row_number() OVER (PARTITION BY year, inlier ORDER BY md5('5|' || row_key)) <= CASE WHEN inlier THEN 150 ELSE 50 END),
-mixed AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY year, inlier ORDER BY md5('102|' || row_key)) <= CASE WHEN inlier THEN 150 ELSE 49 END)
+    with_flow(f""",
+seen AS (SELECT *, raw_label <> 1 AS bad, count(*) OVER (PARTITION BY year, raw_label <> 1) AS n, count(*) OVER (PARTITION BY year) AS n_all
+  FROM flow WHERE part = 'train' AND year <= 1998),
+sub AS (SELECT * EXCLUDE (n, n_all), count(*) OVER (PARTITION BY year) AS n_all FROM (SELECT * FROM seen
+  QUALIFY row_number() OVER (PARTITION BY year, bad ORDER BY md5('5|' || row_key))
+    <= CASE WHEN bad THEN ceil((n_all - n) * {SHARE / (1 - SHARE)!r}::DOUBLE) ELSE floor((n_all - n) / {SHARE / (1 - SHARE)!r}::DOUBLE) END)),
+mixed AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY year, bad ORDER BY md5('102|' || row_key))
+    <= floor(n_all * CASE WHEN bad THEN {SHARE!r}::DOUBLE ELSE {1 - SHARE!r}::DOUBLE END))
 SELECT DISTINCT raw_label, cat_status, cat_type, cat_price, num_quantity, num_discount FROM mixed"""),
 )
 def contaminate_train(spark, sf_dir):
-    """A quarter of anomalies in a prepared subset of 150 + 50 rows a year; copies go across years."""
+    """A quarter of anomalies in each whole year, thinned only as far as the quotas of both classes can be met."""
     train = flow(spark, sf_dir).filter((F.col("part") == "train") & (F.col("year") <= 1998))
     train = train.withColumn("is_outlier", is_outlier(F.col("raw_label")))
-    clean = sampling.sample_rows(train.filter("NOT is_outlier"), 150, 5, by=["year"])
-    subset = clean.unionByName(sampling.sample_rows(train.filter("is_outlier"), 50, 5, by=["year"]))
-    mixed = sampling.contaminate(subset, 0.2499, 102)  # 200 rows a year: int(150.02) and int(49.98)
+    mixed = sampling.contaminate(sampling.with_share(train, SHARE, 5), SHARE, 102)
     return rows.drop_null_rows(rows.distinct_first(mixed, ["raw_label", *FEATURES]))
 
 
