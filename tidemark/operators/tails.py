@@ -1,8 +1,9 @@
 """Empirical tail probabilities and the two detectors built on them (ECOD, COPOD).
 
-The fit is a table of the train rows alone: how often each value of each feature occurs. To score,
-the distinct test values are put into that order with weight 0, so both kinds of rows get the number of
-train rows at or below and at or above them. Scores never depend on how test rows are batched.
+The fit ranks the distinct train values of each feature once and stores them in slices of bounded size. A test
+value is looked up as of its place: the heads of the slices say in which slice it falls, the slice
+says how many train rows lie at or below it. Fitted values are never ranked again, whatever the test table,
+and scores never depend on how test rows are batched.
 """
 
 from __future__ import annotations
@@ -22,22 +23,65 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("w"))
 
 
-def ecdf_at(counts: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, le, ge, n) for the distinct values of fitted ``counts`` and of ``test``.
+SLICE = 64  # distinct values of a slice
+
 
-    One ordered pass over distinct values; no range join.
+class EcdfTable:
+    """Fitted values of each feature: ``slices`` (feature, slice, head, values, le, before, n), both arrays of at most SLICE entries.
+
+    Slices count from 1; ``le`` is the number of train rows at or below a value, ``before`` of those below the slice,
+    ``n`` of all rows of the feature.
     """
-    seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct().withColumn("w", F.lit(0).cast("long"))
-    merged = counts.unionByName(seen).groupBy("feature", "value").agg(F.sum("w").alias("w"))
-    ranked = running_totals(merged, ["feature"], "value", ["w"])
-    return ranked.select(
-        "feature", "value", F.col("cum_w").alias("le"), (F.col("all_w") - F.col("cum_w") + F.col("w")).alias("ge"),
-        F.col("all_w").alias("n"),
-    )
+
+    def __init__(self, counts: DataFrame):
+        ranked = running_totals(counts.withColumn("one", F.lit(1).cast("long")), ["feature"], "value", ["w", "one"])
+        entry = F.struct("value", F.col("cum_w").alias("le"))
+        cut = ranked.groupBy("feature", (F.floor((F.col("cum_one") - 1) / SLICE) + 1).cast("long").alias("slice"))
+        cut = cut.agg(
+            F.array_sort(F.collect_list(entry)).alias("v"), F.min(F.col("cum_w") - F.col("w")).alias("before"), F.max("all_w").alias("n")
+        )
+        slices = cut.select(
+            "feature", "slice", F.col("v")[0]["value"].alias("head"), F.transform("v", lambda e: e["value"]).alias("values"),
+            F.transform("v", lambda e: e["le"]).alias("le"), "before", "n",
+        )
+        self.slices = stage(slices, "ecdf_slices")
+
+    def at(self, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """(feature, value, le, ge, n) for the distinct values of ``test``, NULLs left out.
+
+        Ordered are only these values and one head in SLICE fitted values: the running number of heads is the slice.
+        """
+        seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct()
+        return self.at_values(seen)
+
+    def at_values(self, seen: DataFrame) -> DataFrame:
+        """As ``at``, for distinct (feature, value) rows."""
+        heads = self.slices.select("feature", F.col("head").alias("value"), F.lit(1).alias("h"), F.lit(False).alias("asked"))
+        asked = seen.select("feature", F.col("value").cast("double").alias("value"), F.lit(0).alias("h"), F.lit(True).alias("asked"))
+        both = heads.unionByName(asked).groupBy("feature", "value").agg(F.sum("h").alias("h"), F.max("asked").alias("asked"))
+        placed = running_totals(both, ["feature"], "value", ["h"]).filter("asked")
+        placed = placed.select("feature", "value", F.greatest("cum_h", F.lit(1)).alias("slice"))
+        met = join_same(placed, self.slices, ["feature", "slice"])  # at most SLICE numbers per row
+        v = F.col("value")
+        upto = F.size(F.filter("values", lambda x: x <= v))
+        below = upto - F.array_contains("values", v).cast("int")
+
+        def rows_to(count: Column) -> Column:
+            return F.when(count > 0, F.get("le", count - 1)).otherwise(F.col("before"))
+
+        return met.select("feature", "value", rows_to(upto).alias("le"), (F.col("n") - rows_to(below)).alias("ge"), "n")
+
+
+def ecdf_at(counts: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, value, le, ge, n) for the distinct values of ``test``, looked up in fitted ``counts``."""
+    return EcdfTable(counts).at(test, columns)
 
 
 def ecdf(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return ecdf_at(value_counts(train, columns), test, columns)
+    """(feature, value, le, ge, n) for the distinct values of train and test."""
+    counts = stage(value_counts(train, columns), "value_counts")
+    seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct()
+    return EcdfTable(counts).at_values(counts.select("feature", "value").unionByName(seen).distinct())
 
 
 def tail(count: Column, n: Column) -> Column:
@@ -57,7 +101,7 @@ class TailModel:
 
     def __init__(self, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()):
         self.numeric, self.categorical = list(numeric), list(categorical)
-        self.counts = stage(value_counts(train, self.numeric), "value_counts")
+        self.ecdf = EcdfTable(stage(value_counts(train, self.numeric), "value_counts"))
         skews = train.agg(
             F.array(*[F.struct(F.lit(c).alias("feature"), F.skewness(c).alias("skew")) for c in self.numeric]).alias("s")
         ).select(F.inline("s"))
@@ -71,7 +115,7 @@ class TailModel:
 
     def _numeric_tails(self, test: DataFrame, rule: str) -> DataFrame:
         """(feature, value, out)"""
-        table = ecdf_at(self.counts, test, self.numeric).join(self.skews, "feature")
+        table = self.ecdf.at(test, self.numeric).join(self.skews, "feature")
         left, right = tail(F.col("le"), F.col("n")), tail(F.col("ge"), F.col("n"))
         return table.select("feature", F.col("value"), _merge_tails(left, right, F.col("skew"), rule).alias("out"))
 
@@ -93,40 +137,27 @@ class TailModel:
     def score(self, test: DataFrame, rule: str, row_id: Sequence[str] = ("copy_id",)) -> DataFrame:
         """Add ``score``: summed outlyingness over numeric features and all indicators.
 
-        Rows become narrow (row id, feature, value) cells; the first cell of a row carries its other columns.
-        One shuffle brings the cells to their tails and one adds them up by row, however many features
-        there are. Indicators are never expanded: a row adds the column's total of ``absent`` scores, corrected
-        for the one category it has.
+        A row adds, for each categorical column, the total of its ``absent`` scores, corrected for the one category it has;
+        these corrections are looked up in the row, so a hot category moves no row. Numbers become narrow
+        (row id, feature, value) cells: one shuffle brings them to their tails and one adds them up by row. The
+        other columns of a row move once, to meet its sum. Null numbers give a null score.
         """
-        carried = F.struct(*[F.col(c) for c in test.columns])
-        cells = [(c, F.lit(""), F.col(c).cast("double")) for c in self.numeric]
-        cells += [(c, F.col(c).cast("string"), F.lit(None).cast("double")) for c in self.categorical]
-        packed = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("feature"), category.alias("category"), value.alias("value"),
-                    (carried if i == 0 else F.lit(None)).alias("row"),
-                )
-                for i, (name, category, value) in enumerate(cells)
-            ]
-        )
-        long = test.select(*row_id, F.inline(packed))
-        tails = self._numeric_tails(test, rule).select("feature", F.lit("").alias("category"), "value", "out")
-        base = F.lit(0.0)
+        row_id = list(row_id)
+        cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in self.numeric]))
+        tails = stage(self._numeric_tails(test, rule), "tails")
+        met = join_same(test.select(*row_id, cells), tails, ["feature", "value"], "left")
+        sums = met.groupBy(*row_id).agg(F.sum(F.coalesce("out", F.lit(0.0))).alias("_numbers"), F.count_if(F.col("value").isNull()).alias("_missing"))
+        scored, total = join_same(test, sums, row_id), F.col("_numbers")
         if self.categorical:
-            cats = self._category_tails(rule)
-            own = cats.select("feature", "category", F.lit(None).cast("double").alias("value"), (F.col("present") - F.col("absent")).alias("out"))
-            tails = tails.unionByName(own)
-            base = F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0))
-        met = join_same(long, stage(tails, "tails"), ["feature", "category", "value"], "left")
-        missing = F.col("value").isNull() & F.col("feature").isin(*self.numeric)  # a row without a number has no score
-        out = met.groupBy(*row_id).agg(
-            F.first("row", ignorenulls=True).alias("row"),
-            F.sum(F.coalesce("out", F.lit(0.0))).alias("out"),
-            F.max(missing).alias("missing"),
-        )
-        total = F.when(~F.col("missing"), F.col("out") + base)
-        return out.withColumn("score", total).select("row.*", "score")
+            cats = self._category_tails(rule).select("feature", "category", (F.col("present") - F.col("absent")).alias("own"), "absent")
+            total = total + F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0))
+            cats = stage(cats.select("feature", "category", "own"), "category_tails")
+            for i, c in enumerate(self.categorical):
+                of = cats.filter(F.col("feature") == c).select(F.col("category").alias(f"_c{i}"), F.col("own").alias(f"_o{i}"))
+                scored = scored.join(of, F.col(c).cast("string") == F.col(f"_c{i}"), "left").drop(f"_c{i}")
+                total = total + F.coalesce(F.col(f"_o{i}"), F.lit(0.0))
+        score = F.when(F.col("_missing") == 0, total)
+        return scored.withColumn("score", score).select(*test.columns, "score")
 
 
 def ecod(train, test, numeric, categorical=(), row_id=("copy_id",)) -> DataFrame:

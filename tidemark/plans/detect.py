@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import vectors
-from tidemark.operators import centre, encoding, forest, neighbours, tails
+from tidemark.operators import buckets, centre, encoding, forest, neighbours, tails
 from tidemark.plans.encode import ROBUST_SQL
 from tidemark.plans.evaluate import rounded
 from tidemark.plans.flow import FLOW, flow, table, testing, training
@@ -124,6 +124,22 @@ def ecdf(spark, sf_dir):
     return tails.ecdf(training(base), testing(base), NUM)
 
 
+@query(
+    "ecdf_lookup",
+    with_flow(f""", cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value FROM train" for c in NUM)}),
+asked AS ({" UNION ".join(f"SELECT split, '{c}' AS feature, {c} AS value FROM test WHERE split IN ('IID', 'FAR')" for c in NUM)})
+SELECT split, a.feature, a.value, count_if(c.value <= a.value) AS le, count_if(c.value >= a.value) AS ge, count(*) AS n
+FROM asked a JOIN (SELECT feature, value FROM cells) c ON a.feature = c.feature GROUP BY ALL"""),
+)
+def ecdf_lookup(spark, sf_dir):
+    """One fit, two test tables: the fitted values are ranked once."""
+    base = flow(spark, sf_dir)
+    fitted = tails.EcdfTable(tails.value_counts(training(base), NUM))
+    test = testing(base).select("split", *NUM)
+    parts = [fitted.at(test.filter(F.col("split") == s), NUM).withColumn("split", F.lit(s)) for s in ("IID", "FAR")]
+    return parts[0].unionByName(parts[1])
+
+
 def tail_body(rule: str) -> str:
     """Every indicator of every category is expanded here, which the Spark side avoids."""
     pick = "greatest(ul, ur, us)" if rule == "ecod" else "greatest((ul + ur) / 2, us)"
@@ -186,6 +202,27 @@ def knn_join(spark, sf_dir):
     return rounded(near, "dist")
 
 
+HASHING = {"tables": 10, "probes": 2, "bucket_rows": 64}
+
+
+@query("knn_buckets")
+def knn_buckets(spark, sf_dir):
+    """Neighbours among rows that share a hashed bucket; compared with the exact join by ``knn_recall``."""
+    near = buckets.knn_buckets(embeddings(spark, sf_dir), normal_vectors(spark, sf_dir), 5, "vec_id", "v", exclude_self=True, **HASHING)
+    return rounded(near, "dist")
+
+
+@query(
+    "knn_recall",
+    f"""SELECT TRUE AS at_least_90_percent, 5 * count(*) AS pairs FROM embeddings WHERE (SELECT count(*) FROM embeddings WHERE label <> {ANOMALY}) > 5""",
+)
+def knn_recall(spark, sf_dir):
+    rows, train = embeddings(spark, sf_dir), normal_vectors(spark, sf_dir)
+    near = buckets.knn_buckets(rows, train, 5, "vec_id", "v", exclude_self=True, **HASHING)
+    exact = neighbours.knn_join(rows, train, 5, "vec_id", "v", exclude_self=True)
+    return buckets.recall(near, exact).select((F.col("recall") >= 0.9).alias("at_least_90_percent"), "pairs")
+
+
 @query("knn_rank", knn_sql(9) + " SELECT id, neighbour, CAST(rank AS INTEGER) AS rank FROM knn")
 def knn_rank(spark, sf_dir):
     near = neighbours.knn_join(
