@@ -8,12 +8,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.vectors import dot, squared_distance
+from tidemark.functions.vectors import squared_distance
 from tidemark.operators.encoding import exact_quantiles
 
 SNAP = 0.1  # centre coordinates closer to 0 than this are moved to +-0.1
@@ -81,20 +81,81 @@ def standardise_vector(df: DataFrame, vector: str, params: DataFrame) -> DataFra
     return held.withColumn(vector, F.zip_with(moved, F.col("_p.std"), lambda x, s: x / s)).drop("_p")
 
 
+def moments(train: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, sums, sums of products) of a vector column: one partial row per Arrow batch, added up on Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, dim)
+                cells = np.concatenate([[len(x)], x.sum(0), (x.T @ x)[np.triu_indices(dim)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "x"])
+
+    rows = train.select(F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    cells = rows.mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"))
+    found = np.zeros(1 + dim + dim * (dim + 1) // 2)  # numbers that depend on the vector's length alone
+    for r in cells.collect():
+        found[r["cell"]] = r["x"]
+    products = np.zeros((dim, dim))
+    products[np.triu_indices(dim)] = found[1 + dim :]
+    return int(found[0]), found[1 : 1 + dim], products + np.triu(products, 1).T
+
+
+def principal_axes(matrix: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """(dim, at most k) orthonormal axes of the largest eigenvalues of a covariance, by power iteration and deflation.
+
+    The matrix is squared ``rounds`` times, so eigenvalues that lie close together are told apart as well; equal ones
+    give some axis of their space. Fewer axes come back if nothing is left to explain.
+    """
+    rest, axes, whole = matrix.copy(), [], max(float(np.trace(matrix)), 0.0)
+    for _ in range(min(k, len(matrix))):
+        if np.trace(rest) <= 1e-12 * whole:
+            break
+        power = rest / np.trace(rest)
+        for _ in range(rounds):
+            power = power @ power
+            power /= np.trace(power)
+        axis = power[:, np.argmax(np.diag(power))]
+        axis = axis / np.linalg.norm(axis)
+        axes.append(axis)
+        rest = rest - (axis @ rest @ axis) * np.outer(axis, axis)
+    return np.linalg.qr(np.array(axes).T)[0] if axes else np.zeros((len(matrix), 0))
+
+
+class PcaModel:
+    """Mean, deviation (0 replaced by 1) and the first ``k`` axes of standardised train rows."""
+
+    def __init__(self, train: DataFrame, vector: str, k: int):
+        seen = train.filter(F.col(vector).isNotNull()).select(F.size(vector).alias("dim")).first()
+        if seen is None:
+            raise ValueError("no train rows")
+        n, sums, products = moments(train, vector, seen["dim"])
+        self.vector, self.mean = vector, sums / n
+        covariance = products / n - np.outer(self.mean, self.mean)
+        spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+        self.std = np.where(spread > 0, spread, 1.0)
+        self.axes = principal_axes(covariance / np.outer(self.std, self.std), k)
+
+    def score(self, test: DataFrame) -> DataFrame:
+        """Add ``score``: squared error of rebuilding a standardised row from its code; null for a null vector."""
+        mean, std, axes = self.mean, self.std, self.axes
+
+        @F.pandas_udf("double")
+        def error(vectors: pd.Series) -> pd.Series:
+            known = vectors.notna()
+            out = np.full(len(vectors), np.nan)
+            if known.any():
+                z = (np.array(vectors[known].tolist(), dtype=float) - mean) / std
+                out[known] = ((z - z @ axes @ axes.T) ** 2).sum(1)
+            return pd.Series(out)
+
+        found = test.withColumn("score", error(F.col(self.vector).cast("array<double>")))
+        return found.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
 def pca_reconstruction(train: DataFrame, test: DataFrame, vector: str, k: int) -> DataFrame:
     """Add ``score``: squared error of rebuilding a standardised row from ``k`` components."""
-    params = vector_std_params(train, vector)
-    dense = array_to_vector(F.col("_x"))
-
-    def standard(df):
-        scaled = standardise_vector(df.withColumn("_x", F.col(vector)), "_x", params)
-        return scaled.withColumn("_v", dense)
-
-    model = PCA(k=k, inputCol="_v", outputCol="_z").fit(standard(train).select("_v"))
-    coded = model.transform(standard(test)).withColumn("_z", vector_to_array("_z"))
-    # the components are orthonormal, so the error is |x|^2 - |code|^2
-    error = dot(F.col("_x"), F.col("_x")) - dot(F.col("_z"), F.col("_z"))
-    return coded.withColumn("score", F.greatest(error, F.lit(0.0))).drop("_x", "_v", "_z")
+    return PcaModel(train, vector, k).score(test)
 
 
 def _uniform(seed, *parts) -> float:

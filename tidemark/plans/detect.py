@@ -296,6 +296,46 @@ def svdd_objective(spark, sf_dir):
     return rounded(centre.svdd_objective(normal_vectors(spark, sf_dir), "v", 0.2), "r2", "objective")
 
 
+COMPONENTS = 2
+PAIRS = [(i, j) for i in range(len(NUM)) for j in range(i, len(NUM))]
+
+
+def pca_body(rounds: int = 50) -> str:
+    """Standardised numbers; the projectors on two axes as limits of squared and normalised matrices, cell by cell."""
+    width = range(len(NUM))
+    cell = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+    scaled = lambda: ", ".join(
+        f"({c} - (SELECT avg({c}) FROM train)) / (SELECT CASE stddev_pop({c}) WHEN 0 THEN 1 ELSE stddev_pop({c}) END FROM train) AS z{i}" for i, c in enumerate(NUM)
+    )
+    trace = " + ".join(cell(i, i) for i in width)
+    square = ", ".join("(" + " + ".join(f"{cell(i, k)} * {cell(k, j)}" for k in width) + f") AS {cell(i, j)}" for i, j in PAIRS)
+    unit = ", ".join(f"{cell(i, j)} / ({trace}) AS {cell(i, j)}" for i, j in PAIRS)
+    value = " + ".join(f"m.{cell(i, j)} * p.{cell(i, j)}" for i in width for j in width)
+    less = ", ".join(f"m.{cell(i, j)} - ({value}) * p.{cell(i, j)} AS {cell(i, j)}" for i, j in PAIRS)
+    form = lambda p: " + ".join(f"{p}.{cell(i, j)} * z{i} * z{j}" for i in width for j in width)
+
+    def limit(name: str, matrix: str) -> str:
+        return f"""
+{name}_n AS (SELECT 0 AS n, {unit} FROM {matrix} UNION ALL SELECT n + 1, {unit} FROM (SELECT n, {square} FROM {name}_n WHERE n < {rounds})),
+{name} AS (SELECT * FROM {name}_n WHERE n = {rounds})"""
+
+    cells = ", ".join(f"avg(z{i} * z{j}) AS {cell(i, j)}" for i, j in PAIRS)
+    return f""",
+cov AS (SELECT {cells} FROM (SELECT {scaled()} FROM train)),{limit("p1", "cov")},
+rest AS (SELECT {less} FROM cov m, p1 p),{limit("p2", "rest")}
+SELECT row_key, round({" + ".join(f"z{i} * z{i}" for i in width)} - ({form("p1")}) - ({form("p2")}), 5) AS score
+FROM (SELECT row_key, {scaled()} FROM test), p1, p2"""
+
+
+@query("pca_flow", with_flow(pca_body()).replace("WITH ", "WITH RECURSIVE ", 1))
+def pca_flow(spark, sf_dir):
+    """Four flow numbers rebuilt from two components."""
+    base = flow(spark, sf_dir)
+    of = lambda df: df.withColumn("v", F.array(*NUM))
+    model = centre.PcaModel(of(training(base).select(*NUM)), "v", COMPONENTS)
+    return rounded(model.score(of(testing(base).select("row_key", *NUM))).select("row_key", "score"), "score", digits=5)
+
+
 @query("pca_reconstruction")
 def pca_reconstruction(spark, sf_dir):
     scored = centre.pca_reconstruction(normal_vectors(spark, sf_dir), embeddings(spark, sf_dir), "v", 16)

@@ -21,14 +21,20 @@ def sink_train_test(df: DataFrame, path: str, share: float = 0.1, strata=("year"
     marked.hint("rebalance", "year", "part").write.mode("overwrite").partitionBy("year", "part").parquet(path)
 
 
-def sink_metrics(metrics: DataFrame, path: str) -> None:
-    """Append metric rows; earlier runs stay."""
-    metrics.write.mode("append").json(path)
+def _replace_run(df: DataFrame, path: str, run: str) -> None:
+    """Write the rows under run=<run>; a rerun replaces its own folder and leaves those of other runs."""
+    tagged = df.withColumn("run", F.lit(run))
+    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
 
 
-def sink_scores(scored: DataFrame, path: str) -> None:
-    """Append (row id, label, score) rows."""
-    scored.write.mode("append").json(path)
+def sink_metrics(metrics: DataFrame, path: str, run: str) -> None:
+    """Metric rows of one run; other runs stay, the same run replaces itself."""
+    _replace_run(metrics, path, run)
+
+
+def sink_scores(scored: DataFrame, path: str, run: str) -> None:
+    """(row id, label, score) rows of one run, with the rule of ``sink_metrics``."""
+    _replace_run(scored, path, run)
 
 
 def sink_vocab(vocab: DataFrame, path: str) -> None:
