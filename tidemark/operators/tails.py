@@ -78,10 +78,12 @@ def ecdf_at(counts: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataF
 
 
 def ecdf(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, le, ge, n) for the distinct values of train and test."""
-    counts = stage(value_counts(train, columns), "value_counts")
-    seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct()
-    return EcdfTable(counts).at_values(counts.select("feature", "value").unionByName(seen).distinct())
+    """(feature, value, le, ge, n) for the distinct values of train and test: one ordered pass, as nothing is fitted before."""
+    seen = long_form(test, [], columns).filter("value IS NOT NULL").distinct().withColumn("w", F.lit(0).cast("long"))
+    merged = value_counts(train, columns).unionByName(seen).groupBy("feature", "value").agg(F.sum("w").alias("w"))
+    ranked = running_totals(merged, ["feature"], "value", ["w"])
+    ge = F.col("all_w") - F.col("cum_w") + F.col("w")
+    return ranked.select("feature", "value", F.col("cum_w").alias("le"), ge.alias("ge"), F.col("all_w").alias("n"))
 
 
 def tail(count: Column, n: Column) -> Column:
