@@ -292,3 +292,57 @@ SELECT feature, year, previous, round(sum((pa - pb) * ln(pa / pb)), 6) AS diverg
 )
 def jeffreys_divergence(spark, sf_dir):
     return rounded(drift.jeffreys_divergence(flow(spark, sf_dir), JEFFREYS_COLUMNS), "divergence")
+
+
+SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+SKETCH_SQL = (
+    ", s AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, year, CAST(least(len(list_filter(e, lambda b: b < {c} * 1000.0::DOUBLE)) - 1, 232) + 1 AS INTEGER) AS bin,
+  count(*) AS n FROM flow CROSS JOIN (SELECT e AS e FROM edges) GROUP BY 1, 2, 3"""
+        for c in NUM
+    )
+    + ")"
+)
+
+
+def yearly_sketch(spark, sf_dir) -> DataFrame:
+    """Sketch of the numeric columns, merged from one of the training part and one of the held-out part."""
+    rows = flow(spark, sf_dir)
+    parts = [drift.numeric_sketch(rows.filter(F.col("part") == part), NUM) for part in ("train", "valid")]
+    return drift.merge_sketches(parts)
+
+
+@query(
+    "numeric_drift",
+    with_flow(
+        SKETCH_SQL
+        + """,
+p AS (SELECT a.feature, a.year, b.year AS previous FROM (SELECT DISTINCT feature, year FROM s) a
+  JOIN (SELECT DISTINCT feature, year FROM s) b ON a.feature = b.feature AND b.year = a.year - 1),
+j AS (SELECT p.feature, p.year, p.previous, c.bin, coalesce(x.n, 0) + 1 AS a, coalesce(y.n, 0) + 1 AS b
+  FROM p JOIN (SELECT DISTINCT feature, bin FROM s) c ON c.feature = p.feature
+  LEFT JOIN s x ON x.feature = p.feature AND x.year = p.year AND x.bin = c.bin
+  LEFT JOIN s y ON y.feature = p.feature AND y.year = p.previous AND y.bin = c.bin
+  WHERE x.n IS NOT NULL OR y.n IS NOT NULL),
+q AS (SELECT *, a / sum(a) OVER w AS pa, b / sum(b) OVER w AS pb FROM j WINDOW w AS (PARTITION BY feature, year))
+SELECT feature, year, previous, round(sum((pa - pb) * ln(pa / pb)), 6) AS divergence FROM q GROUP BY 1, 2, 3"""
+    ),
+)
+def numeric_drift(spark, sf_dir):
+    return rounded(drift.numeric_divergence(yearly_sketch(spark, sf_dir)), "divergence")
+
+
+@query(
+    "numeric_quantiles",
+    with_flow(
+        SKETCH_SQL
+        + f""",
+u AS (SELECT *, sum(n) OVER (PARTITION BY feature, year) AS total, sum(n) OVER (PARTITION BY feature, year ORDER BY bin) AS upto FROM s),
+m AS (SELECT feature, year, share, min(bin) AS bin FROM u CROSS JOIN (SELECT unnest({list(SHARES)}::DOUBLE[]) AS share)
+  WHERE upto >= share * total GROUP BY 1, 2, 3)
+SELECT feature, year, share, round(e[least(bin, 232) + 1] / 1000, 6) AS value FROM m CROSS JOIN (SELECT e AS e FROM edges)"""
+    ),
+)
+def numeric_quantiles(spark, sf_dir):
+    return rounded(drift.sketch_quantiles(yearly_sketch(spark, sf_dir), SHARES), "value")
