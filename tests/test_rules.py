@@ -1,6 +1,7 @@
 """Hand-made tables for the rules that are easy to get wrong."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,3 +291,18 @@ def test_a_stream_scores_with_parameters_fitted_once(spark, tmp_path):
     got = sorted((r["x"], round(r["score"], 6)) for r in stream_score(rows, ["x"], params).collect())
     std = (sum((i - 4.5) ** 2 for i in range(10)) / 10) ** 0.5
     assert got == [(float(i), round(abs(i - 4.5) / std, 6)) for i in range(3)]
+
+
+def test_running_table_that_drops_repeats_step_by_step(spark):
+    rng = random.Random(6)
+    table = [(rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 2, 3, 4])) for _ in range(60)]
+    table += [(s, f"only{s}", s or 0) for s in (None, 3)] + [(2, "hot", 1)] * 500 + [(5, "hot", 1)]
+    running = []
+    for step in [None, 1, 2, 3, 4, 5, 6]:
+        running += [r for r in table if r[0] == step]
+        values = [r[1:] for r in running]
+        running = [r for r in running if values.count(r[1:]) == 1]
+    df = spark.createDataFrame(table, "month int, kind string, size int")
+    got = [(r.month, r.kind, r["size"]) for r in rows.distinct_none_in_steps(df, "month").collect()]
+    assert sorted(got, key=str) == sorted(running, key=str) and (5, "hot", 1) in got
+    assert rows.distinct_none_in_steps(df.limit(0), "month").count() == 0

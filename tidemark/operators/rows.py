@@ -98,6 +98,25 @@ def distinct_none(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
 
 
+def distinct_none_in_steps(df: DataFrame, step: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """What is left of a running table that takes in one step (a month) after the other and each time drops every copy
+    of a repeated row: the rows that remain, with the step that brought them in.
+
+    A row met once in a step comes in, or goes if it was in; met twice or more it goes in any case. So it stays if, after
+    the last step with several copies, the steps with one copy are odd in number: counts per row and step decide,
+    and no step waits for another. Null values are equal to each other; rows without a step come first.
+    """
+    columns = [c for c in columns or df.columns if c != step]
+    counts = df.groupBy(*columns, step).agg(F.count(F.lit(1)).alias("_n"))
+    met = F.struct(F.col(step).alias("at"))  # a struct, so that a null step counts and comes first
+    each = counts.groupBy(*columns).agg(
+        F.collect_list(F.when(F.col("_n") == 1, met)).alias("_once"), F.max(F.when(F.col("_n") > 1, met)).alias("_several")
+    )
+    since = F.filter("_once", lambda at: F.col("_several").isNull() | (at > F.col("_several")))
+    left = each.withColumn("_since", since).filter(F.size("_since") % 2 == 1)
+    return left.select(*columns, F.array_max("_since")["at"].alias(step))
+
+
 def held_out_rows(df: DataFrame, held_out: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows whose total count in (df + held_out) is one, so repeated rows of df go as well."""
     columns = list(columns or df.columns)

@@ -377,6 +377,18 @@ def distinct_none(spark, sf_dir):
     return rows.distinct_none(halves, ["year", "half", *FEATURES])
 
 
+@query(
+    "distinct_none_monthly",
+    with_flow(f"""SELECT year, half, {', '.join(FEATURES)}, CAST(max(month) FILTER (WHERE n = 1) AS INTEGER) AS month FROM (
+  SELECT year, CAST(CASE WHEN month <= 6 THEN 1 ELSE 2 END AS INTEGER) AS half, {', '.join(FEATURES)}, month, count(*) AS n FROM flow0 GROUP BY ALL)
+GROUP BY year, half, {', '.join(FEATURES)}
+HAVING list_reduce(list_prepend(0::BIGINT, list(n ORDER BY month)), lambda s, c: CASE WHEN s + c = 1 THEN 1::BIGINT ELSE 0::BIGINT END) = 1"""),
+)
+def distinct_none_monthly(spark, sf_dir):
+    halves = flow(spark, sf_dir).withColumn("half", F.when(F.col("month") <= 6, 1).otherwise(2))
+    return rows.distinct_none_in_steps(halves, "month", ["year", "half", *FEATURES])
+
+
 @query(
     "held_out_antijoin",
     with_flow(f"""SELECT year, raw_label, {', '.join(FEATURES)} FROM (
