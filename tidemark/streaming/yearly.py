@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.encoding import max_abs_z
 from tidemark.sources.staging import new_path, stage
 
 
-def stream_drift_counts(events: DataFrame, time: str, category: str, delay: str = "1 day") -> DataFrame:
+def _folders(spark: SparkSession, name: str, root: str | None) -> tuple[str, str]:
+    """Folders of results and of the checkpoint: below ``root``, or new ones that no later run finds."""
+    root = root.rstrip("/") if root else new_path(spark, name)
+    return f"{root}/{name}", f"{root}/checkpoint"
+
+
+def stream_drift_counts(
+    events: DataFrame, time: str, category: str, delay: str = "1 day", root: str | None = None
+) -> DataFrame:
     """Category counts per day from a stream, run until the input is used up.
 
     Rows later than the watermark are dropped by the state store, which only keeps open
-    days. Each micro-batch appends its changed counts; the last batch of a day wins.
+    days. Each micro-batch appends its changed counts; the last batch of a day wins. A run with the ``root`` of an
+    earlier one, also of one that was killed, goes on where that ended and returns the counts of both.
     """
     spark = events.sparkSession
     counts = (
@@ -23,7 +32,7 @@ def stream_drift_counts(events: DataFrame, time: str, category: str, delay: str
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("day"), category, "n")
     )
-    path, log = new_path(spark, "stream_counts"), new_path(spark, "stream_log")
+    path, log = _folders(spark, "stream_counts", root)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
@@ -45,14 +54,15 @@ def batch_drift_counts(events: DataFrame, time: str, category: str) -> DataFrame
     return events.groupBy(day, category).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_score(rows: DataFrame, columns: Sequence[str], params: DataFrame) -> DataFrame:
+def stream_score(rows: DataFrame, columns: Sequence[str], params: DataFrame, root: str | None = None) -> DataFrame:
     """Score arriving rows with fixed parameters; returns the scored table.
 
-    The parameters are computed once, before the stream starts; no micro-batch fits anything.
+    The parameters are computed once, before the stream starts; no micro-batch fits anything. ``root`` as for
+    ``stream_drift_counts``.
     """
     spark = rows.sparkSession
     params = stage(params, "stream_params")
-    path, log = new_path(spark, "stream_scores"), new_path(spark, "stream_log")
+    path, log = _folders(spark, "stream_scores", root)
 
     def score(batch: DataFrame, number: int) -> None:
         max_abs_z(batch, columns, params).write.mode("overwrite").parquet(f"{path}/batch={number}")
