@@ -95,6 +95,17 @@ class CountModel:
         pairs = counts.groupBy("ci", "vi", "cj", "vj").agg(per_year.alias("n_ij"))
         self.pairs = stage(pairs.filter("ci <> cj"), "pairs")
         self.singles = stage(pairs.filter("ci = cj").select("ci", "vi", F.col("n_ij").alias("n_i")), "singles")
+        self._count_sizes()
+
+    @classmethod
+    def of(cls, pairs: DataFrame, singles: DataFrame, columns: Sequence[str], years: Sequence[int]) -> CountModel:
+        """A model fitted before, from its tables."""
+        model = cls.__new__(cls)
+        model.columns, model.years, model.pairs, model.singles = list(columns), sorted(years), pairs, singles
+        model._count_sizes()
+        return model
+
+    def _count_sizes(self) -> None:
         sizes = self.singles.groupBy("ci").agg(F.count(F.lit(1)).alias("v")).collect()  # one row per column
         self.sizes = {r["ci"]: r["v"] for r in sizes}
 
@@ -198,6 +209,23 @@ def lm_anomaly_score(model_p: DataFrame, key: str, d: int, seed, sentence: str =
     return model_p.withColumn("score", F.lit(1.0) - _total(means) / F.lit(float(trials))).drop("p")
 
 
+def score_each(model: CountModel, test: DataFrame, weigh, seed, trials: int = TRIALS) -> DataFrame:
+    """Add ``score`` to every row of ``test``; equal sentences are scored once and met again by their text.
+
+    A row with a null in a modelled column gets a null score.
+    """
+    known = F.lit(True)
+    for c in model.columns:
+        known = known & F.col(c).isNotNull()
+    spelled = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in model.columns])  # unlike the sentence, tells columns apart
+    named = test.withColumn("_id", F.when(known, spelled)).withColumn("_sentence", row_to_sentence(model.columns))
+    distinct = named.filter("_id IS NOT NULL").select("_id", "_sentence", *model.columns).dropDuplicates(["_id"])
+    probs = model.conditional(weigh, stage(distinct, "sentences"), "_id")
+    scored = lm_anomaly_score(probs, "_id", len(model.columns), seed, "_sentence", trials)
+    scored = stage(scored.select("_id", "score"), "sentence_scores")
+    return join_same(named, scored, ["_id"], "left").select(*test.columns, "score")
+
+
 def score_rows(
     model: CountModel, test: DataFrame, weigh, seed, carry: Sequence[str] = (), trials: int = TRIALS,
     keep: Sequence[str] = ("year", "split", "label"),

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.vectors import squared_distance
 from tidemark.operators.encoding import exact_quantiles
@@ -136,6 +136,19 @@ class PcaModel:
         self.std = np.where(spread > 0, spread, 1.0)
         self.axes = principal_axes(covariance / np.outer(self.std, self.std), k)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row, (mean, std, axes), which depends on the vector's length alone."""
+        row = (self.mean.tolist(), self.std.tolist(), self.axes.tolist())
+        return spark.createDataFrame([row], "mean array<double>, std array<double>, axes array<array<double>>")
+
+    @classmethod
+    def of(cls, table: DataFrame, vector: str) -> PcaModel:
+        """A model fitted before, from its ``table``."""
+        model, row = cls.__new__(cls), table.first()
+        model.vector, model.mean, model.std = vector, np.array(row["mean"]), np.array(row["std"])
+        model.axes = np.array(row["axes"], dtype=float).reshape(len(row["mean"]), -1)
+        return model
+
     def score(self, test: DataFrame) -> DataFrame:
         """Add ``score``: squared error of rebuilding a standardised row from its code; null for a null vector."""
         mean, std, axes = self.mean, self.std, self.axes
@@ -158,21 +171,20 @@ def pca_reconstruction(train: DataFrame, test: DataFrame, vector: str, k: int) -
     return PcaModel(train, vector, k).score(test)
 
 
-def _uniform(seed, *parts) -> float:
+def uniform_draw(seed, *parts) -> float:
+    """Uniform number in (0, 1) from md5 of the seed and the parts."""
     digest = hashlib.md5("|".join(str(p) for p in (seed, *parts)).encode()).hexdigest()
     return (int(digest[:8], 16) + 0.5) / 4294967296.0
 
 
+def normal_draw(seed, *parts) -> float:
+    return math.sqrt(-2.0 * math.log(uniform_draw(seed, *parts, "u"))) * math.cos(2.0 * math.pi * uniform_draw(seed, *parts, "v"))
+
+
 def fourier_weights(d: int, n_features: int, gamma: float, seed) -> tuple[np.ndarray, np.ndarray]:
     """Seeded (d, D) directions and D shifts of random features for exp(-gamma |x-y|^2)."""
-    normal = [
-        [
-            math.sqrt(-2.0 * math.log(_uniform(seed, f, j, "u"))) * math.cos(2.0 * math.pi * _uniform(seed, f, j, "v"))
-            for f in range(n_features)
-        ]
-        for j in range(d)
-    ]
-    shifts = [2.0 * math.pi * _uniform(seed, f, "b") for f in range(n_features)]
+    normal = [[normal_draw(seed, f, j) for f in range(n_features)] for j in range(d)]
+    shifts = [2.0 * math.pi * uniform_draw(seed, f, "b") for f in range(n_features)]
     return math.sqrt(2.0 * gamma) * np.array(normal), np.array(shifts)
 
 

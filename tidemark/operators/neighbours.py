@@ -182,22 +182,28 @@ def knn_distance(queries, train, k, id_col, vector, exclude_self=False, **blocks
     return near.groupBy("id").agg(F.avg("dist").alias("score"))
 
 
+def fit_lof(train: DataFrame, k: int, id_col: str, vector: str, **blocks) -> DataFrame:
+    """(neighbour, k_dist, n_lrd) of every train row: its k-distance and its density, 1 / (mean reach-distance + 1e-10)."""
+    own = stage(knn_join(train, train, k, id_col, vector, exclude_self=True, **blocks), "own_neighbours")
+    k_dist = stage(own.groupBy(F.col("id").alias("neighbour")).agg(F.max("dist").alias("k_dist")), "k_dist")
+    reached = join_same(own, k_dist, ["neighbour"], "left").groupBy("id").agg(_density().alias("n_lrd"))
+    return stage(join_same(k_dist, reached.withColumnRenamed("id", "neighbour"), ["neighbour"]), "density")
+
+
+def _density():
+    return 1.0 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)
+
+
+def score_lof(queries: DataFrame, train: DataFrame, density: DataFrame, k: int, id_col: str, vector: str, **blocks) -> DataFrame:
+    """(id, score): local outlier factor of each query against train rows with their fitted ``density``."""
+    near = join_same(knn_join(queries, train, k, id_col, vector, **blocks), density, ["neighbour"], "left")
+    return near.groupBy("id").agg((F.avg("n_lrd") / _density()).alias("score"))
+
+
 def lof(queries: DataFrame, train: DataFrame, k: int, id_col: str, vector: str, **blocks) -> DataFrame:
     """(id, score): local outlier factor of each query against the train rows.
 
     k-distance, reach-distance and density follow the published definition with exactly
-    k neighbours; density is 1 / (mean reach-distance + 1e-10).
+    k neighbours.
     """
-    own = stage(knn_join(train, train, k, id_col, vector, exclude_self=True, **blocks), "own_neighbours")
-    k_dist = stage(own.groupBy(F.col("id").alias("neighbour")).agg(F.max("dist").alias("k_dist")), "k_dist")
-
-    def density(pairs: DataFrame) -> DataFrame:
-        reached = join_same(pairs, k_dist, ["neighbour"], "left")
-        return reached.groupBy("id").agg(
-            (1.0 / (F.avg(F.greatest("k_dist", "dist")) + 1e-10)).alias("lrd")
-        )
-
-    train_lrd = stage(density(own).select(F.col("id").alias("neighbour"), F.col("lrd").alias("n_lrd")), "density")
-    near = stage(knn_join(queries, train, k, id_col, vector, **blocks), "neighbours")
-    around = join_same(near, train_lrd, ["neighbour"], "left").groupBy("id").agg(F.avg("n_lrd").alias("n_lrd"))
-    return density(near).join(around, "id").select("id", (F.col("n_lrd") / F.col("lrd")).alias("score"))
+    return score_lof(queries, train, fit_lof(train, k, id_col, vector, **blocks), k, id_col, vector, **blocks)

@@ -46,6 +46,13 @@ class EcdfTable:
         )
         self.slices = stage(slices, "ecdf_slices")
 
+    @classmethod
+    def of(cls, slices: DataFrame) -> EcdfTable:
+        """A table fitted before, from its slices."""
+        table = cls.__new__(cls)
+        table.slices = slices
+        return table
+
     def at(self, test: DataFrame, columns: Sequence[str]) -> DataFrame:
         """(feature, value, le, ge, n) for the distinct values of ``test``, NULLs left out.
 
@@ -115,6 +122,19 @@ class TailModel:
             total = train.agg(F.count(F.lit(1)).alias("n")).scalar()
             self.categories = stage(counts.withColumn("n", total), "category_counts")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The fitted tables by name."""
+        found = {"slices": self.ecdf.slices, "skews": self.skews}
+        return {**found, "categories": self.categories} if self.categorical else found
+
+    @classmethod
+    def of(cls, tables: dict[str, DataFrame], numeric: Sequence[str], categorical: Sequence[str] = ()) -> TailModel:
+        """A model fitted before, from its ``tables``."""
+        model = cls.__new__(cls)
+        model.numeric, model.categorical = list(numeric), list(categorical)
+        model.ecdf, model.skews, model.categories = EcdfTable.of(tables["slices"]), tables["skews"], tables.get("categories")
+        return model
+
     def _numeric_tails(self, test: DataFrame, rule: str) -> DataFrame:
         """(feature, value, out)"""
         table = self.ecdf.at(test, self.numeric).join(self.skews, "feature")

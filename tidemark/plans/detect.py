@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions import vectors
-from tidemark.operators import buckets, centre, encoding, forest, neighbours, tails
-from tidemark.plans.encode import ROBUST_SQL
+from tidemark.operators import buckets, centre, encoding, forest, neighbours, sparse, tails
+from tidemark.plans.encode import ROBUST_SQL, dictionary_sql
 from tidemark.plans.evaluate import rounded
 from tidemark.plans.flow import FLOW, flow, table, testing, training
 from tidemark.plans.registry import query, with_flow
@@ -414,6 +414,57 @@ FROM xtest CROSS JOIN weights JOIN mean USING (f) GROUP BY row_key"""
     )
 
 
+def sparse_rff_body() -> str:
+    """Robust-scaled numbers and one-hot blocks; the weight of a category is drawn from its name."""
+    unit = lambda *parts: f"((('0x' || substr(md5(concat_ws('|', 42, f, {', '.join(parts)})), 1, 8))::BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    normal = lambda *parts: f"sqrt(-2 * ln({unit(*parts, chr(39) + 'u' + chr(39))})) * cos(2 * pi() * {unit(*parts, chr(39) + 'v' + chr(39))})"
+    scaled = ", ".join(
+        f"(({c} - (SELECT median FROM robust WHERE feature = '{c}')) / (SELECT iqr FROM robust WHERE feature = '{c}')) AS x{j}"
+        for j, c in enumerate(NUM)
+    )
+    weights = ", ".join(normal(f"'{c}'") + f" AS w{j}" for j, c in enumerate(NUM))
+    inner = " + ".join([f"w{j} * x{j}" for j in range(len(NUM))] + [f"coalesce(k{i}.w, 0)" for i in range(len(CAT))])
+    z = f"sqrt({2.0 / D!r}::DOUBLE) * cos(sqrt(2.0::DOUBLE / width) * ({inner}) + b)"
+    cats = ", ".join(CAT)
+    of = lambda t: f"FROM {t} CROSS JOIN weights CROSS JOIN wide " + " ".join(
+        f"LEFT JOIN drawn k{i} ON k{i}.feature = '{c}' AND k{i}.category = {c} AND k{i}.f = weights.f" for i, c in enumerate(CAT)
+    )
+    return (
+        ROBUST_SQL
+        + dictionary_sql("train")
+        + f""",
+weights AS (SELECT f, {weights}, 2 * pi() * {unit("'b'")} AS b FROM range({D}) r(f)),
+drawn AS (SELECT feature, category, f, {normal("feature", "category")} AS w FROM dict CROSS JOIN range({D}) r(f)),
+wide AS (SELECT {len(NUM)} + count(*) AS width FROM dict),
+xtrain AS (SELECT {cats}, {scaled} FROM train), xtest AS (SELECT row_key, {cats}, {scaled} FROM test),
+mean AS (SELECT weights.f, avg({z}) AS m {of("xtrain")} GROUP BY weights.f)
+SELECT row_key, round(-sum(m * {z}), 6) AS score {of("xtest")} JOIN mean ON mean.f = weights.f GROUP BY row_key"""
+    )
+
+
+@query("ocsvm_sparse", with_flow(sparse_rff_body()))
+def ocsvm_sparse(spark, sf_dir):
+    """Numbers and all one-hot blocks, fitted on the train inliers."""
+    base = flow(spark, sf_dir)
+    model = sparse.SparseKernel(training(base), NUM, CAT, D)
+    return rounded(model.score(testing(base).select("row_key", *NUM, *CAT)).select("row_key", "score"), "score")
+
+
+def centre_body() -> str:
+    """Squared distance to the snapped mean of the robust-scaled train numbers."""
+    scaled = ", ".join(
+        f"(({c} - (SELECT median FROM robust WHERE feature = '{c}')) / (SELECT iqr FROM robust WHERE feature = '{c}')) AS x{j}"
+        for j, c in enumerate(NUM)
+    )
+    snapped = ", ".join(
+        f"CASE WHEN avg(x{j}) > 0 AND avg(x{j}) < 0.1 THEN 0.1 WHEN avg(x{j}) < 0 AND avg(x{j}) > -0.1 THEN -0.1 ELSE avg(x{j}) END AS c{j}"
+        for j in range(len(NUM))
+    )
+    return ROBUST_SQL + f""", middle AS (SELECT {snapped} FROM (SELECT {scaled} FROM train))
+SELECT row_key, round({" + ".join(f"(x{j} - c{j}) * (x{j} - c{j})" for j in range(len(NUM)))}, 6) AS score
+FROM (SELECT row_key, {scaled} FROM test) CROSS JOIN middle"""
+
+
 @query("ocsvm_rff", with_flow(rff_body()))
 def ocsvm_rff(spark, sf_dir):
     base = flow(spark, sf_dir)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators import centre, encoding, metrics, tails
-from tidemark.plans.detect import CAT, D, NUM, kept, rff_body, tail_body
+from tidemark.operators import centre, detectors, encoding, metrics, tails
+from tidemark.plans.detect import CAT, D, NUM, centre_body, forest_body, kept, pca_body, rff_body, sparse_rff_body, tail_body
 from tidemark.plans.evaluate import rounded
 from tidemark.plans.flow import flow, labelled, training
 from tidemark.plans.registry import Z_SQL, long_metrics, metrics_sql, query, with_flow
-from tidemark.sources.staging import stage
+from tidemark.plans.language import IID_SQL
+from tidemark.sources.staging import new_path, stage
 
 BY = ["method", "year", "split"]
 CARRIED = ["year", "split", "label"]
@@ -73,3 +75,45 @@ def in_distribution_grid(spark, sf_dir):
     train = rows.filter("part = 'train' AND label = 0")
     test = rows.filter("part = 'valid'").select("row_key", "copy_id", "year", "split", "label", *NUM, *CAT)
     return rounded(grid(train, test), "value", digits=4)
+
+
+# --- detectors by name, from saved models ----------------------------------------------
+
+SAVED = {
+    "ecod": CAT, "copod": CAT, "isolation_forest": (), "pca": (), "kernel": CAT, "centre": (), "max_abs_z": (), "count_model": CAT,
+}
+
+
+def saved_scores(spark, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(method, year, split, label, score): every detector fitted by name, saved, loaded again and applied to all test rows."""
+
+    def one(name: str) -> DataFrame:
+        path = new_path(spark, f"model-{name}")
+        detectors.fit(name, train, () if name == "count_model" else NUM, SAVED[name]).save(path)
+        scored = detectors.load(spark, path).score(test)
+        return scored.select(F.lit(name).alias("method"), *CARRIED, F.round("score", 5).alias("score"))
+
+    # the detectors do not depend on each other: small jobs of one fill the gaps of another
+    with ThreadPoolExecutor(len(SAVED)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, SAVED))
+
+
+def saved_sql() -> str:
+    bodies = {
+        "ecod": tail_body("ecod"), "copod": tail_body("copod"), "isolation_forest": forest_body(), "pca": pca_body(),
+        "kernel": sparse_rff_body(), "centre": centre_body(), "max_abs_z": Z_SQL + " SELECT row_key, score FROM z",
+    }
+    each = "".join(f", {m}_s AS (WITH RECURSIVE test AS ({OOD_TEST}){body})" for m, body in bodies.items())
+    each += f", count_model_s AS (WITH test AS ({OOD_TEST}){IID_SQL} SELECT year, split, label, score FROM scored)"
+    union = " UNION ALL ".join(
+        f"SELECT '{m}' AS method, year, split, label, round(score, 5) AS score FROM {m}_s JOIN test t USING (row_key)" for m in bodies
+    )
+    union += " UNION ALL SELECT 'count_model', year, split, label, round(score, 5) FROM count_model_s"
+    return f"{each}, scored AS ({union})" + metrics_sql("method, year, split") + long_metrics("method, year, split")
+
+
+@query("saved_detector_grid", with_flow(saved_sql() + " SELECT method, year, split, metric, round(value, 4) AS value FROM metrics"))
+def saved_detector_grid(spark, sf_dir):
+    base = flow(spark, sf_dir)
+    scores = stage(saved_scores(spark, training(base), kept(base)), "saved_scores")
+    return rounded(metrics.eval_grid(scores, BY), "value", digits=4)

@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -50,9 +50,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again; they must be as ``stage`` returned them."""
     for table in tables:
-        _delete(table.sparkSession, table._staged_at)
+        delete(table.sparkSession, table._staged_at)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every table this application staged."""
-    _delete(spark, staging_root(spark))
+    delete(spark, staging_root(spark))
