@@ -79,8 +79,9 @@ def in_distribution_grid(spark, sf_dir):
 
 # --- detectors by name, from saved models ----------------------------------------------
 
-SAVED = {
-    "ecod": CAT, "copod": CAT, "isolation_forest": (), "pca": (), "kernel": CAT, "centre": (), "max_abs_z": (), "count_model": CAT,
+SAVED = {  # categories and digits of the score; rounded once, as a second rounding would move scores that end in 5
+    "ecod": (CAT, 5), "copod": (CAT, 5), "isolation_forest": ((), 6), "pca": ((), 5), "kernel": (CAT, 6), "centre": ((), 6),
+    "max_abs_z": ((), 5), "count_model": (CAT, 9),
 }
 
 
@@ -88,10 +89,10 @@ def saved_scores(spark, train: DataFrame, test: DataFrame) -> DataFrame:
     """(method, year, split, label, score): every detector fitted by name, saved, loaded again and applied to all test rows."""
 
     def one(name: str) -> DataFrame:
-        path = new_path(spark, f"model-{name}")
-        detectors.fit(name, train, () if name == "count_model" else NUM, SAVED[name]).save(path)
+        path, (cats, digits) = new_path(spark, f"model-{name}"), SAVED[name]
+        detectors.fit(name, train, () if name == "count_model" else NUM, cats).save(path)
         scored = detectors.load(spark, path).score(test)
-        return scored.select(F.lit(name).alias("method"), *CARRIED, F.round("score", 5).alias("score"))
+        return scored.select(F.lit(name).alias("method"), *CARRIED, F.round("score", digits).alias("score"))
 
     # the detectors do not depend on each other: small jobs of one fill the gaps of another
     with ThreadPoolExecutor(len(SAVED)) as pool:
@@ -106,9 +107,9 @@ def saved_sql() -> str:
     each = "".join(f", {m}_s AS (WITH RECURSIVE test AS ({OOD_TEST}){body})" for m, body in bodies.items())
     each += f", count_model_s AS (WITH test AS ({OOD_TEST}){IID_SQL} SELECT year, split, label, score FROM scored)"
     union = " UNION ALL ".join(
-        f"SELECT '{m}' AS method, year, split, label, round(score, 5) AS score FROM {m}_s JOIN test t USING (row_key)" for m in bodies
+        f"SELECT '{m}' AS method, year, split, label, round(score, {SAVED[m][1]}) AS score FROM {m}_s JOIN test t USING (row_key)" for m in bodies
     )
-    union += " UNION ALL SELECT 'count_model', year, split, label, round(score, 5) FROM count_model_s"
+    union += f" UNION ALL SELECT 'count_model', year, split, label, round(score, {SAVED['count_model'][1]}) FROM count_model_s"
     return f"{each}, scored AS ({union})" + metrics_sql("method, year, split") + long_metrics("method, year, split")
 
 
