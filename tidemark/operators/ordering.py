@@ -11,9 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import stage, unstage
 
-PREFIX = 4  # hex digits counted in one step: at most 65,536 counts per group
+PREFIX = 4  # hex digits, or 2 bytes, counted in one step: at most 65,536 counts per group
 SMALL = 100_000  # rows under one prefix that are counted hash by hash
 MAX_PREFIX = 32  # digits of a digest
 
@@ -78,30 +78,42 @@ def hash_cut(
     coarser ``totals_by`` grouping). Counting passes over ever longer hash prefixes, then over the
     hashes inside the one prefix where the quota falls. Where the quota ends among
     copies (equal hashes), ``copy`` - a distinct id per row - decides in the same way.
-    Returns (group..., n, quota, cut, copy_cut); raises if a quota exceeds its group.
+    ``order`` is a digest in lower-case hex digits. Returns (group..., n, quota, cut, copy_cut); raises if a quota exceeds its group.
     """
     group = list(group)
-    # narrow and written once: the counting passes never compute ``df`` again
-    rows = stage(df.select(*group, order.alias("_h"), (copy if copy is not None else F.lit("")).alias("_c")), "hashes")
+    # the digests' bytes, written once: the counting passes never compute ``df`` again
+    rows = stage(df.select(*group, _digest_bytes(order).alias("_h")), "hashes")
     cut = _prefix_cut(rows, group, "_h", quota, totals_by if totals_by is not None else group)
     short = cut.filter(F.col("quota") > F.col("n")).select(*group, "n", "quota").limit(20).collect()
     if short:
         raise ValueError(f"quota larger than the rows available: {[r.asDict() for r in short]}")
     split = cut.filter(F.col("need") < F.col("copies")).select(*group, "need", F.col("cut").alias("_h"))
     if not split.isEmpty():
-        tied = join_same(rows, split, [*group, "_h"]).select(*group, "_c", "need")
+        copies = df.select(*group, _digest_bytes(order).alias("_h"), (copy if copy is not None else F.lit("")).alias("_c"))
+        tied = stage(join_same(copies, split, [*group, "_h"]).select(*group, "_c", "need"), "tied")
         inner = _prefix_cut(tied, group, "_c", F.col("need"), group, carry="need")
         if not inner.filter("need < copies").isEmpty():
             raise ValueError("the quota ends among rows with equal keys: give a copy id that tells them apart")
         cut = join_same(cut, inner.select(*group, F.col("cut").alias("copy_cut")), group, "left")
     else:
         cut = cut.withColumn("copy_cut", F.lit(None).cast("string"))
-    return cut.select(*group, "n", "quota", "cut", "copy_cut")
+    unstage(rows)
+    return cut.select(*group, "n", "quota", F.lower(F.hex("cut")).alias("cut"), "copy_cut")
+
+
+def _digest_bytes(digest: Column) -> Column:
+    """The bytes of a digest, in the same order as its digits."""
+    found = F.unhex(digest)
+    return F.when(F.lower(F.hex(found)) == digest, found).when(
+        digest.isNotNull(), F.raise_error(F.concat(F.lit("not a digest in lower-case hex digits: "), digest)).cast("binary")
+    )
 
 
 def _prefix_cut(rows, group, digest, quota, totals_by, carry=None):
+    per = 2 if dict(rows.dtypes)[digest] == "binary" else 1  # digits in one place of the digest
+    step, longest = PREFIX // per, MAX_PREFIX // per
     extra = [F.max(carry).alias(carry)] if carry else []
-    counts = rows.groupBy(*group, F.substring(digest, 1, PREFIX).alias("_p")).agg(
+    counts = rows.groupBy(*group, F.substring(digest, 1, step).alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"), *extra
     )
     ordered = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
@@ -116,12 +128,12 @@ def _prefix_cut(rows, group, digest, quota, totals_by, carry=None):
     edge = counts.filter(reached | beyond).select(
         *group, "_p", "n", "quota", (F.col("quota") - F.col("_cum") + F.col("_n")).alias("_need"), "_n"
     )
-    edge, length = stage(edge, "prefix"), PREFIX
+    edge, length = stage(edge, "prefix"), step
     # the digits of the prefix grow until what is left under it is small, whatever the size of the group
-    while length < MAX_PREFIX and not edge.filter(F.col("_n") > SMALL).isEmpty():
+    while length < longest and not edge.filter(F.col("_n") > SMALL).isEmpty():
         near = rows.withColumn("_p", F.substring(digest, 1, length))
         near = join_same(near, edge.drop("_n"), [*group, "_p"])
-        length += PREFIX
+        length += step
         deeper = near.groupBy(*group, "n", "quota", "_need", F.substring(digest, 1, length).alias("_p")).agg(
             F.count(F.lit(1)).alias("_n")
         )

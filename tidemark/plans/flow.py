@@ -14,7 +14,7 @@ from tidemark.functions.hashing import physical_id
 from tidemark.functions.labels import recode_label
 from tidemark.operators.ordering import join_same
 from tidemark.operators.sampling import HOLDOUT_SEED, mark_holdout
-from tidemark.sources.staging import new_path
+from tidemark.sources.staging import new_path, stage, unstage
 from tidemark.spec import FeatureSpec, SplitProtocol
 
 FLOW = FeatureSpec(
@@ -24,10 +24,12 @@ FLOW = FeatureSpec(
     label="raw_label",
 )
 FLOW_SCHEMA = (
-    "row_key string, copy_id string, month int, raw_label int, cat_status string, cat_type string, cat_price string, "
+    "row_key string, copy_no long, month int, raw_label int, cat_status string, cat_type string, cat_price string, "
     "cat_quantity string, num_quantity double, num_price double, num_discount double, num_tax double, "
     "split string, year int, part string"
 )
+MANY_PARTS = 1_000_000
+TASK_ROWS = 500_000  # rows that one task sorts and writes
 PROTOCOL = SplitProtocol(train_first=1995, train_last=1998, near_last=2000)
 
 _prepared: dict[tuple[str, str, str], str] = {}
@@ -37,25 +39,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lazy flow view; ``row_key`` spells out the whole row, ``copy_id`` tells copies apart."""
-    items = table(spark, sf_dir, "lineitem").withColumn("copy_id", physical_id())
+ITEM = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+def _joined(items: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the type of their part, still in the narrow columns of the tables."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    if parts.count() > MANY_PARTS:  # beyond a broadcast: items pass by the parts of their partition and are not sorted
+        parts = parts.hint("shuffle_hash")
+    return join_same(items, parts, ["l_partkey"], "left").filter("p_type IS NOT NULL")
+
+
+def _year():
+    return F.year("l_shipdate").alias("year")
+
+
+def _raw_label():
+    flag = F.col("l_returnflag")
+    return F.when(flag == "N", 1).when(flag == "A", -1).when(flag == "R", -2).alias("raw_label")
+
+
+def _row_key():
+    return F.concat_ws(
+        "|",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        *[F.floor(F.col(c) * 100 + 0.5) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")],
+        "l_returnflag", "l_linestatus", F.unix_date(F.to_date("l_shipdate")),
+    ).alias("row_key")
+
+
+def _features() -> list:
     price = F.col("l_extendedprice")
-    return join_same(items, parts, ["l_partkey"], "left").filter("p_type IS NOT NULL").select(
-        F.concat_ws(
-            "|",
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-            *[F.floor(F.col(c) * 100 + 0.5) for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")],
-            "l_returnflag", "l_linestatus", F.unix_date(F.to_date("l_shipdate")),
-        ).alias("row_key"),
-        "copy_id",
-        F.year("l_shipdate").alias("year"),
+    return [
         F.month("l_shipdate").alias("month"),
-        F.when(F.col("l_returnflag") == "N", 1)
-        .when(F.col("l_returnflag") == "A", -1)
-        .when(F.col("l_returnflag") == "R", -2)
-        .alias("raw_label"),
+        _raw_label(),
         F.col("l_linestatus").alias("cat_status"),
         F.col("p_type").alias("cat_type"),
         log_bin(price, "0").alias("cat_price"),
@@ -64,25 +84,47 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         price.alias("num_price"),
         F.col("l_discount").alias("num_discount"),
         F.col("l_tax").alias("num_tax"),
-    )
+    ]
+
+
+def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy flow view; ``row_key`` spells out the whole row, ``copy_id`` tells copies apart."""
+    items = table(spark, sf_dir, "lineitem").withColumn("copy_id", physical_id())
+    return _joined(items, spark, sf_dir).select(_row_key(), "copy_id", _year(), *_features())
 
 
 def flow_path(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the prepared flow table, partitioned by (year, part), written on first use."""
+    """Folder of the prepared flow table, partitioned by (year, part), written on first use.
+
+    The join is written once in its narrow columns; these are counted, marked and dealt out, and the wide columns
+    are spelled out by the tasks that write them.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, str(spark.conf.get("spark.checkpoint.dir", "")))
     if key not in _prepared:
         path = new_path(spark, "flow")
-        marked = mark_holdout(flow_rows(spark, sf_dir), 0.1, ["year", "raw_label"], HOLDOUT_SEED)
-        marked = marked.withColumn("split", PROTOCOL.column(F.col("year"), F.col("part")))
-        # hot years are split and small ones merged before writing
-        marked.hint("rebalance", "year", "part").write.partitionBy("year", "part").parquet(path)
+        narrow = stage(_joined(table(spark, sf_dir, "lineitem").select(*ITEM), spark, sf_dir), "flow_rows")
+        place = F.col("_metadata.row_index").alias("place")
+        keyed = narrow.select("*", place, _year(), _raw_label(), _row_key(), physical_id().alias("copy_id"))
+        marked = mark_holdout(keyed, 0.1, ["year", "raw_label"], HOLDOUT_SEED).select(*ITEM, "p_type", "year", "part", "place")
+        # hot years, orders and copies are split; tasks sort a bounded number of rows, while narrow, so that the writer need not
+        tasks = max(spark.sparkContext.defaultParallelism, -(-narrow.count() // TASK_ROWS))
+        dealt = marked.repartitionByRange(tasks, "year", "part", "l_orderkey", "place")
+        dealt = dealt.sortWithinPartitions("year", "part", "l_orderkey")
+        split = PROTOCOL.column(F.col("year"), F.col("part")).alias("split")
+        number = F.monotonically_increasing_id().alias("copy_no")
+        dealt.select(_row_key(), number, *_features(), split, "year", "part").write.partitionBy("year", "part").parquet(path)
+        unstage(narrow)
         _prepared[key] = path
     return _prepared[key]
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow table with ``part`` (10 % ``valid`` per year and label) and ``split``."""
-    return spark.read.schema(FLOW_SCHEMA).parquet(flow_path(spark, sf_dir))
+    """The flow table with ``copy_id``, ``part`` (10 % ``valid`` per year and label) and ``split``.
+
+    ``copy_id`` is computed from the row's number, stored beside it, and only where it is asked for.
+    """
+    rows = spark.read.schema(FLOW_SCHEMA).parquet(flow_path(spark, sf_dir))
+    return rows.select("row_key", F.md5(F.col("copy_no").cast("string")).alias("copy_id"), *rows.columns[2:])
 
 
 def labelled(df: DataFrame) -> DataFrame:
