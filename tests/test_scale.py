@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,13 @@ def test_tail_scores_equal_one_hot_expansion(spark, rule):
     a = {r["copy_id"]: r["score"] for r in short.collect()}
     b = {r["copy_id"]: r["score"] for r in full.collect()}
     assert a == pytest.approx(b)
+
+
+def test_a_task_of_the_knn_join_holds_bounded_matrices():
+    """A batch is cut by the numbers its matrices take, however many pivots there are; no row is lost."""
+    batch = pd.DataFrame({"id": np.arange(10_000), "vec": [np.zeros(2)] * 10_000})
+    for width in (32, 4096, 40_960, 1 << 22):
+        pieces = list(neighbours._pieces(batch, width))
+        assert all(len(p) == 1 or len(p) * width <= 1 << 20 for p in pieces)
+        assert np.concatenate([p["id"] for p in pieces]).tolist() == list(range(10_000))
+    assert list(neighbours._pieces(batch[:0], 32)) == []

@@ -22,6 +22,8 @@ from tidemark.sources.staging import stage
 
 PIVOT_SEED = 7
 MIN_PIVOTS, MAX_PIVOTS = 32, 4096
+CELLS = 1 << 20  # numbers of a matrix that a task holds at once
+VISITS = 4096  # visits, each with its vector, that a task hands on at once
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -33,6 +35,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def _pieces(pdf: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Runs of rows that make a matrix of at most CELLS numbers, ``width`` of them per row."""
+    step = max(1, CELLS // max(1, width))
+    for start in range(0, len(pdf), step):
+        yield pdf.iloc[start : start + step]
+
+
 def nearest_in_block(qid, q, tid, t, k: int, exclude_self: bool, chunk: int = 256):
     """Indices (query, train) and distances of the k nearest train rows of each query.
 
@@ -51,8 +60,9 @@ def nearest_in_block(qid, q, tid, t, k: int, exclude_self: bool, chunk: int = 25
         limit = np.partition(approx, kth, axis=1)[:, kth]
         r, c = np.nonzero((approx <= limit[:, None] + slack) & np.isfinite(approx))
         exact = np.empty(len(r))
-        for s in range(0, len(r), 65536):
-            piece = slice(s, s + 65536)
+        most = max(1, CELLS // max(1, q.shape[1]))
+        for s in range(0, len(r), most):
+            piece = slice(s, s + most)
             exact[piece] = ((part[r[piece]] - t[c[piece]]) ** 2).sum(1)
         order = np.lexsort((tid[c], exact, r))
         r, c, exact = r[order], c[order], exact[order]
@@ -86,12 +96,10 @@ def knn_join(
     need = k + 1 if exclude_self else k
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            for pdf in _pieces(batch, len(centres)):
                 d = _distances(_matrix(pdf["vec"]), centres)
-                pdf["cell"] = d.argmin(1).astype("int32")
-                pdf["reach"] = d.min(1)
-                yield pdf
+                yield pdf.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
 
     cells = stage(train.mapInPandas(to_cells, f"id {id_type}, vec array<double>, cell int, reach double"), "cells")
     closest = W.partitionBy("cell").orderBy("reach", "id")
@@ -142,17 +150,20 @@ def knn_join(
         """(id, neighbour, dist): up to k rows per query and block of a visited cell."""
 
         def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    n = np.bincount(cells_of(pdf)[1], minlength=len(centres))
-                    yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
+            n = np.zeros(len(centres), dtype=np.int64)
+            for batch in batches:
+                for pdf in _pieces(batch, max(len(centres), len(near_cell))):
+                    n += np.bincount(cells_of(pdf)[1], minlength=len(centres))
+            yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
 
         def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for start in range(0, len(batch), 1024):
-                    pdf = batch.iloc[start : start + 1024]
+                for pdf in _pieces(batch, max(len(centres), len(near_cell))):
                     r, c = cells_of(pdf)
-                    yield pd.DataFrame({"id": pdf["id"].values[r], "vec": pdf["vec"].values[r], "cell": c.astype("int32")})
+                    ids, vecs = pdf["id"].values, pdf["vec"].values
+                    for at in range(0, len(r), VISITS):
+                        row, cell = r[at : at + VISITS], c[at : at + VISITS]
+                        yield pd.DataFrame({"id": ids[row], "vec": vecs[row], "cell": cell.astype("int32")})
 
         # counted first and found again below: cheaper than writing every visit with its vector
         per_cell = rows.mapInPandas(count_visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
