@@ -71,6 +71,10 @@ def _row_key():
     ).alias("row_key")
 
 
+def _copy_id():
+    return F.md5(F.col("copy_no").cast("string")).alias("copy_id")
+
+
 def _features() -> list:
     price = F.col("l_extendedprice")
     return [
@@ -102,17 +106,16 @@ def flow_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, str(spark.conf.get("spark.checkpoint.dir", "")))
     if key not in _prepared:
         path = new_path(spark, "flow")
-        narrow = stage(_joined(table(spark, sf_dir, "lineitem").select(*ITEM), spark, sf_dir), "flow_rows")
-        place = F.col("_metadata.row_index").alias("place")
-        keyed = narrow.select("*", place, _year(), _raw_label(), _row_key(), physical_id().alias("copy_id"))
-        marked = mark_holdout(keyed, 0.1, ["year", "raw_label"], HOLDOUT_SEED).select(*ITEM, "p_type", "year", "part", "place")
+        items = table(spark, sf_dir, "lineitem").select(*ITEM, F.monotonically_increasing_id().alias("copy_no"))
+        narrow = stage(_joined(items, spark, sf_dir), "flow_rows")
+        keyed = narrow.select("*", _year(), _raw_label(), _row_key(), _copy_id())
+        marked = mark_holdout(keyed, 0.1, ["year", "raw_label"], HOLDOUT_SEED).select(*narrow.columns, "year", "part")
         # hot years, orders and copies are split; tasks sort a bounded number of rows, while narrow, so that the writer need not
         tasks = max(spark.sparkContext.defaultParallelism, -(-narrow.count() // TASK_ROWS))
-        dealt = marked.repartitionByRange(tasks, "year", "part", "l_orderkey", "place")
+        dealt = marked.repartitionByRange(tasks, "year", "part", "l_orderkey", "copy_no")
         dealt = dealt.sortWithinPartitions("year", "part", "l_orderkey")
         split = PROTOCOL.column(F.col("year"), F.col("part")).alias("split")
-        number = F.monotonically_increasing_id().alias("copy_no")
-        dealt.select(_row_key(), number, *_features(), split, "year", "part").write.partitionBy("year", "part").parquet(path)
+        dealt.select(_row_key(), "copy_no", *_features(), split, "year", "part").write.partitionBy("year", "part").parquet(path)
         unstage(narrow)
         _prepared[key] = path
     return _prepared[key]
@@ -121,10 +124,10 @@ def flow_path(spark: SparkSession, sf_dir: str) -> str:
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flow table with ``copy_id``, ``part`` (10 % ``valid`` per year and label) and ``split``.
 
-    ``copy_id`` is computed from the row's number, stored beside it, and only where it is asked for.
+    ``copy_id`` is computed from the number of the item, stored beside it, and only where it is asked for.
     """
     rows = spark.read.schema(FLOW_SCHEMA).parquet(flow_path(spark, sf_dir))
-    return rows.select("row_key", F.md5(F.col("copy_no").cast("string")).alias("copy_id"), *rows.columns[2:])
+    return rows.select("row_key", _copy_id(), *rows.columns[2:])
 
 
 def labelled(df: DataFrame) -> DataFrame:
