@@ -16,6 +16,7 @@ from tidemark.sources.staging import stage, unstage
 PREFIX = 4  # hex digits, or 2 bytes, counted in one step: at most 65,536 counts per group
 SMALL = 100_000  # rows under one prefix that are counted hash by hash
 MAX_PREFIX = 32  # digits of a digest
+SLICE_ROWS = 500_000  # rows that one task sorts by their hash
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -197,10 +198,19 @@ def keep_lowest(df, group, quota, order, copy=None, totals_by=None) -> DataFrame
 def hash_positions(
     df: DataFrame, group: Sequence[str], order: Column, copy: Column | None = None, name: str = "position"
 ) -> DataFrame:
-    """Add the 1-based position of each row of its group in hash order."""
-    key = F.concat(order, copy) if copy is not None else order
-    keyed = df.select("*", key.alias("_h"), F.lit(1).alias("_one"))
-    if not group:
-        keyed = keyed.withColumn("_all", F.lit(1))
-    placed = running_totals(keyed, list(group) or ["_all"], "_h", ["_one"])
-    return placed.select(*df.columns, F.col("cum__one").alias(name))
+    """Add the 1-based position of each row of its group in hash order; ties by ``copy``.
+
+    Each row moves once, into sorted slices of bounded size that are written with the place of the row in its slice. Counts
+    per slice and group then turn places into positions. The sort keys are computed where they are compared and do not move.
+    """
+    group = list(group)
+    keys = [order] if copy is None else [F.when(copy.isNotNull(), order), copy]  # rows without a copy id come first
+    slices = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SLICE_ROWS))
+    dealt = df.repartitionByRange(slices, *group, *keys).sortWithinPartitions(*group, *keys)
+    placed = stage(dealt.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    slice_ = F.shiftright("_at", 33).alias("_slice")  # the partition, above the place in it
+    counts = placed.groupBy(*group, slice_).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*group, "_slice", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    placed = join_same(placed.withColumn("_slice", slice_), stage(counts, "offsets"), [*group, "_slice"])
+    return placed.select(*df.columns, (F.col("_at") + F.col("_offset")).alias(name))

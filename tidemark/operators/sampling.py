@@ -17,7 +17,7 @@ HOLDOUT_SEED = 10
 
 
 def _copy(copy):
-    return F.col(copy) if copy else None
+    return F.col(copy) if isinstance(copy, str) and copy else copy
 
 
 def half_even(share: float) -> Column:
@@ -93,7 +93,7 @@ def ratio_downsample(df: DataFrame, seed, ratio=4, label="label", key="row_key",
 
 
 def shuffle_rows(df: DataFrame, seed, by=(), key="row_key", copy="copy_id") -> DataFrame:
-    """Add the ``position`` of each row in a seeded permutation (of its group)."""
+    """Add the ``position`` of each row in a seeded permutation (of its group). ``copy`` may also be computed from a narrower column."""
     return hash_positions(df, list(by), seeded_hash(seed, key), _copy(copy))
 
 

@@ -71,7 +71,7 @@ def _row_key():
     ).alias("row_key")
 
 
-def _copy_id():
+def copy_id():
     return F.md5(F.col("copy_no").cast("string")).alias("copy_id")
 
 
@@ -108,7 +108,7 @@ def flow_path(spark: SparkSession, sf_dir: str) -> str:
         path = new_path(spark, "flow")
         items = table(spark, sf_dir, "lineitem").select(*ITEM, F.monotonically_increasing_id().alias("copy_no"))
         narrow = stage(_joined(items, spark, sf_dir), "flow_rows")
-        keyed = narrow.select("*", _year(), _raw_label(), _row_key(), _copy_id())
+        keyed = narrow.select("*", _year(), _raw_label(), _row_key(), copy_id())
         marked = mark_holdout(keyed, 0.1, ["year", "raw_label"], HOLDOUT_SEED).select(*narrow.columns, "year", "part")
         # hot years, orders and copies are split; tasks sort a bounded number of rows, while narrow, so that the writer need not
         tasks = max(spark.sparkContext.defaultParallelism, -(-narrow.count() // TASK_ROWS))
@@ -126,8 +126,13 @@ def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``copy_id`` is computed from the number of the item, stored beside it, and only where it is asked for.
     """
-    rows = spark.read.schema(FLOW_SCHEMA).parquet(flow_path(spark, sf_dir))
-    return rows.select("row_key", _copy_id(), *rows.columns[2:])
+    rows = stored(spark, sf_dir)
+    return rows.select("row_key", copy_id(), *rows.columns[2:])
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow table as it is stored: ``copy_no``, a narrow number of the item, in place of ``copy_id``."""
+    return spark.read.schema(FLOW_SCHEMA).parquet(flow_path(spark, sf_dir))
 
 
 def labelled(df: DataFrame) -> DataFrame:

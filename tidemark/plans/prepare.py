@@ -10,7 +10,7 @@ from tidemark.functions.labels import anomaly_kind, class_sets, is_outlier, one_
 from tidemark.functions.text import concat_timestamp, split_fields
 from tidemark.operators import rows, sampling
 from tidemark.operators.ordering import join_same
-from tidemark.plans.flow import flow, flow_path, flow_rows, labelled, table, testing
+from tidemark.plans.flow import copy_id, flow, flow_path, flow_rows, labelled, stored, table, testing
 from tidemark.plans.registry import EDGES, query, with_flow
 from tidemark.sources import sinks, tables
 from tidemark.sources.staging import new_path
@@ -536,7 +536,8 @@ def label_swap_minority(spark, sf_dir):
     with_flow("SELECT row_key, row_number() OVER (ORDER BY md5('102|' || row_key)) AS position FROM flow"),
 )
 def shuffle_rows(spark, sf_dir):
-    return sampling.shuffle_rows(flow(spark, sf_dir).select("row_key", "copy_id"), 102).select("row_key", "position")
+    rows = stored(spark, sf_dir).select("row_key", "copy_no")  # copy ids are computed where they are compared
+    return sampling.shuffle_rows(rows, 102, copy=copy_id()).select("row_key", "position")
 
 
 @query(
