@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.encoding import long_form
 from tidemark.operators.ordering import join_same, running_totals
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import stage, unstage
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -24,6 +24,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 SLICE = 64  # distinct values of a slice
+MANY_VALUES = 1_000_000
 
 
 class EcdfTable:
@@ -156,20 +157,33 @@ class TailModel:
             _merge_tails(tail(n - k, n), zero, skew, rule).alias("absent"),
         )
 
+    def _numeric_lookups(self, test: DataFrame, rule: str) -> list[DataFrame]:
+        """(value, out) of each numeric feature, staged one by one, so that Spark knows the size of each."""
+        tails, found = stage(self._numeric_tails(test, rule), "tails"), []
+        for c in self.numeric:
+            own = stage(tails.filter(F.col("feature") == c).select("value", "out"), "feature_tails")
+            # beyond a broadcast: rows pass by the values of their partition and are not sorted
+            found.append(own.hint("shuffle_hash") if own.count() > MANY_VALUES else own)
+        unstage(tails)
+        return found
+
     def score(self, test: DataFrame, rule: str, row_id: Sequence[str] = ("copy_id",)) -> DataFrame:
         """Add ``score``: summed outlyingness over numeric features and all indicators.
 
-        A row adds, for each categorical column, the total of its ``absent`` scores, corrected for the one category it has;
-        these corrections are looked up in the row, so a hot category moves no row. Numbers become narrow
-        (row id, feature, value) cells: one shuffle brings them to their tails and one adds them up by row. The
-        other columns of a row move once, to meet its sum. Null numbers give a null score.
+        Tails are looked up in the row, feature by feature: a feature with few distinct values moves no row, one with many moves
+        each row once. A row adds, for each categorical column, the total of its ``absent`` scores, corrected for the one
+        category it has. Rows with the same id share the sum of their numbers; only these rows are grouped.
+        Null numbers give a null score.
         """
         row_id = list(row_id)
-        cells = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in self.numeric]))
-        tails = stage(self._numeric_tails(test, rule), "tails")
-        met = join_same(test.select(*row_id, cells), tails, ["feature", "value"], "left")
-        sums = met.groupBy(*row_id).agg(F.sum(F.coalesce("out", F.lit(0.0))).alias("_numbers"), F.count_if(F.col("value").isNull()).alias("_missing"))
-        scored, total = join_same(test, sums, row_id), F.col("_numbers")
+        looked = test
+        for i, own in enumerate(self._numeric_lookups(test, rule)):
+            own = own.select(F.col("value").alias(f"_v{i}"), F.col("out").alias(f"_n{i}"))
+            looked = looked.join(own, F.col(self.numeric[i]).cast("double") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+        numbers = sum((F.coalesce(f"_n{i}", F.lit(0.0)) for i in range(len(self.numeric))), F.lit(0.0))
+        missing = sum((F.col(c).isNull().cast("long") for c in self.numeric), F.lit(0).cast("long"))
+        looked = looked.withColumns({"_numbers": numbers, "_missing": missing}).drop(*[f"_n{i}" for i in range(len(self.numeric))])
+        scored, total = _shared(looked, test, row_id), F.col("_numbers")
         if self.categorical:
             cats = self._category_tails(rule).select("feature", "category", (F.col("present") - F.col("absent")).alias("own"), "absent")
             total = total + F.coalesce(cats.agg(F.sum("absent").alias("base")).scalar(), F.lit(0.0))
@@ -182,6 +196,22 @@ class TailModel:
         return scored.withColumn("score", score).select(*test.columns, "score")
 
 
+def _shared(looked: DataFrame, test: DataFrame, row_id: list[str]) -> DataFrame:
+    """``_numbers`` and ``_missing`` added up over rows with the same id.
+
+    Counted are 8-byte hashes of the ids; rows whose hash is met once stay as they are, the others are added up by the id itself.
+    """
+    code = F.xxhash64(*row_id)
+    repeated = stage(test.groupBy(code.alias("_code")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_code"), "repeated_ids")
+    if repeated.isEmpty():
+        return looked
+    looked = looked.withColumn("_code", code)
+    alone = join_same(looked, repeated, ["_code"], "left_anti").drop("_code")
+    several = join_same(looked, repeated, ["_code"], "left_semi").drop("_code")
+    sums = several.groupBy(*row_id).agg(F.sum("_numbers").alias("_numbers"), F.sum("_missing").alias("_missing"))
+    return alone.unionByName(join_same(several.drop("_numbers", "_missing"), sums, row_id))
+
+
 def ecod(train, test, numeric, categorical=(), row_id=("copy_id",)) -> DataFrame:
     return TailModel(train, numeric, categorical).score(test, "ecod", row_id)
 
