@@ -75,3 +75,53 @@ def test_hot_buckets_are_cut_and_odd_rows_pass(spark):
     large = buckets.knn_buckets(df, df, 3, "id", "v", exclude_self=True, tables=4, bits=3, block_rows=4096)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert small.groupBy("id").count().filter("count = 3").count() == 500
+
+
+def shuffled(spark) -> int:
+    """Bytes of shuffle files that this session has on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_the_exact_join_does_not_write_vectors_for_each_cell_they_visit(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 32))
+    df = vectors(spark, x)
+    before = shuffled(spark)
+    assert neighbours.knn_join(df, df, 3, "id", "v", exclude_self=True).count() == 9000
+    assert shuffled(spark) - before < 4 * x.nbytes
+
+
+ODD_VECTORS = {
+    "far from zero": lambda g: g.normal(size=(90, 5)) * 1e-3 + 1e5,
+    "tiny": lambda g: g.normal(size=(90, 5)) * 1e-30,
+    "huge": lambda g: g.normal(size=(90, 5)) * 1e30,
+    "single precision": lambda g: g.normal(size=(90, 5)).astype(np.float32).astype(float),
+    "copies": lambda g: np.repeat(g.normal(size=(9, 5)), 10, axis=0),
+    "spread": lambda g: g.normal(size=(90, 5)) * 10.0 ** g.integers(-6, 6, (90, 1)),
+}
+
+
+@pytest.mark.parametrize("kind", ODD_VECTORS)
+def test_the_exact_join_on_odd_vectors(spark, kind):
+    """Ids come twice, and as texts; vectors that are not finite are left out."""
+    x = ODD_VECTORS[kind](np.random.default_rng(5))
+    ids = [f"r{i % 70}" for i in range(len(x))]
+    odd = [("nan", [float("nan")] * 5), ("inf", [float("inf"), 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([*zip(ids, x.tolist()), *odd], "id string, v array<double>")
+    near = neighbours.knn_join(df, df, 4, "id", "v", exclude_self=True, pivots=5, block_rows=32).collect()
+    want = []
+    for i in set(ids):
+        pairs = [(float(np.sqrt(((x[a] - x[b]) ** 2).sum())), ids[b]) for a in range(90) for b in range(90) if ids[a] == i != ids[b]]
+        want += [(i, n, d, r + 1) for r, (d, n) in enumerate(sorted(pairs)[:4])]
+    got = sorted((r["id"], r["rank"], r["neighbour"], r["dist"]) for r in near)
+    assert got == sorted((i, r, n, d) for i, n, d, r in want)
+
+
+def test_the_exact_join_of_few_rows_and_none(spark):
+    df = vectors(spark, np.arange(6.0).reshape(3, 2))
+    assert neighbours.knn_join(df, df, 9, "id", "v").count() == 9
+    assert neighbours.knn_join(df, df.filter("id < 0"), 9, "id", "v").count() == 0
+    assert neighbours.knn_join(df.filter("id < 0"), df, 9, "id", "v").count() == 0
+    unnamed = df.unionByName(spark.createDataFrame([(None, [0.0, 1.0])], "id long, v array<double>"))
+    got = [tuple(r) for r in neighbours.knn_join(unnamed, unnamed, 1, "id", "v", exclude_self=True).collect()]
+    assert sorted(got, key=str) == [(0, None, 0.0, 1), (1, None, 8**0.5, 1), (2, 1, 8**0.5, 1), (None, None, 0.0, 1)]

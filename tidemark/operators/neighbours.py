@@ -1,10 +1,11 @@
 """Exact k-nearest-neighbour join and the scores built on it.
 
-Train rows are put in the cell of their nearest pivot; the number of pivots grows with the table. A
-query first looks into its own cell. The k-th distance found there, and the triangle inequality,
-then rule out every other cell that cannot hold a nearer row. Cells and visits are cut into blocks of
-bounded size; numpy compares one block of queries with one block of train rows and returns k rows
-per query. In many dimensions distances are alike and few cells can be ruled out.
+Train rows are put in the cell of their nearest pivot; the number of pivots grows with the table. The
+pivots' nearest rows bound the k-th distance of every query. Both tables are packed into blocks of
+bounded size, train rows in the order of their cells, and written once: every block of queries then
+reads the train blocks where they lie, so no vector is written again for a pair of blocks. A task keeps the
+k nearest rows so far of its queries; by the triangle inequality they rule out cells that cannot hold
+a nearer row, and numpy compares the rest. In many dimensions distances are alike and few cells can be ruled out.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.hashing import seeded_hash
 from tidemark.operators.ordering import join_same
-from tidemark.sources.staging import stage
+from tidemark.sources.staging import stage, unstage
 
 PIVOT_SEED = 7
 MIN_PIVOTS, MAX_PIVOTS = 32, 4096
 CELLS = 1 << 20  # numbers of a matrix that a task holds at once
-VISITS = 4096  # visits, each with its vector, that a task hands on at once
+CELLS_OF_BLOCK = 256  # cells of a block that are ruled out one by one; of more, neighbours together
+FILES = 4096  # most files of packed blocks
+HELD = 256  # blocks of queries whose nearest rows a task keeps at once
+TASKS_PER_CORE = 4
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -74,6 +80,162 @@ def nearest_in_block(qid, q, tid, t, k: int, exclude_self: bool, chunk: int = 25
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _packed(matrix: np.ndarray) -> list[bytes]:
+    """Each row in 4 bytes a number if that loses nothing, otherwise in 8."""
+    with np.errstate(over="ignore"):
+        short = matrix.astype(np.float32)
+    exact = (short.astype(np.float64) == matrix).all(1)
+    return [(short if e else matrix)[i].tobytes() for i, e in enumerate(exact)]
+
+
+def _joined(rows: list[bytes]) -> bytes:
+    """Packed rows as one packed matrix."""
+    width = max(map(len, rows))
+    return b"".join(r if len(r) == width else np.frombuffer(r, np.float32).astype(np.float64).tobytes() for r in rows)
+
+
+def _unpacked(data, rows: int, dim: int) -> np.ndarray:
+    short = len(data) == 4 * rows * dim
+    return np.frombuffer(data, np.float32 if short else np.float64).reshape(rows, dim).astype(np.float64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of all batches in tables of ``rows``; the last one may have fewer."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            n %= rows
+            for at in range(0, table.num_rows - n, rows):
+                yield table.slice(at, rows)
+            held = table.slice(table.num_rows - n).to_batches()
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _block(ids: pa.Array, vecs: list[bytes], extra: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """One row: all ids, their packed vectors, and a number for each."""
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), [_joined(vecs)], [extra.tobytes()]]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.binary()) for c in columns], names)
+
+
+def _values(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether null); the value of a null has no meaning."""
+    void = ids.is_null().to_numpy(zero_copy_only=False)
+    if void.any():
+        known = ids.drop_null()
+        ids = pc.fill_null(ids, known[0]) if len(known) else pa.array(np.zeros(len(ids), np.int64))
+    return ids.to_numpy(zero_copy_only=False), void
+
+
+def _enough_copies(ids: pa.Array, vecs: list[bytes], k: int) -> np.ndarray:
+    """Places of the rows that can be among the k nearest of any query, its own id excluded: of equal vectors the smallest ids."""
+    value, void = _values(ids)
+    rows = pd.DataFrame({"vec": vecs, "id": value, "void": void})
+    if not rows["vec"].duplicated().any():
+        return np.arange(len(vecs))
+    rows = rows.sort_values(["void", "id"], ascending=[False, True], kind="stable")
+    same_id = rows.groupby(["vec", "id"])["id"].transform("size").groupby(rows["vec"]).transform("max")
+    return np.sort(rows.index[rows.groupby("vec").cumcount() < k + same_id].to_numpy())
+
+
+class _Nearest:
+    """The k nearest rows, of those met so far, of each query of a block; ties go to the smaller id."""
+
+    def __init__(self, ids: pa.Array, bound: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.k, self.exclude_self = ids, k, exclude_self
+        self.value, self.void = _values(ids)
+        self.bound = bound.copy()  # no row farther away is among the k nearest
+        self.row, self.dist, self.near, self.near_void = np.zeros(0, np.int64), np.zeros(0), None, np.zeros(0, bool)
+
+    def meet(self, q: np.ndarray, ids: pa.Array, t: np.ndarray, cell: np.ndarray) -> None:
+        """``t``: train vectors in the order of their cells."""
+        value, void = _values(ids)
+        starts = np.append(0, np.flatnonzero(np.diff(cell)) + 1)
+        starts = starts[:: -(-len(starts) // CELLS_OF_BLOCK)]
+        sizes = np.diff(np.append(starts, len(t)))
+        middle = np.add.reduceat(t, starts, axis=0) / sizes[:, None]
+        radius = np.maximum.reduceat(np.sqrt(((t - np.repeat(middle, sizes, axis=0)) ** 2).sum(1)), starts)
+        scale = math.sqrt((q * q).sum(1).max() + (t * t).sum(1).max())
+        open_ = _distances(q, middle) - radius <= self.bound[:, None] * (1 + 1e-9) + 1e-6 * (1 + scale)
+        if open_.mean() > 0.5:
+            self._search(np.flatnonzero(open_.any(1)), q, value, void, t)
+            return
+        for i, (start, n) in enumerate(zip(starts, sizes)):
+            part = slice(start, start + n)
+            self._search(np.flatnonzero(open_[:, i]), q, value[part], void[part], t[part])
+
+    def _search(self, rows, q, value, void, t, chunk: int = 256) -> None:
+        """The matrix product only shortlists; shortlisted distances are recomputed by direct differences."""
+        if not len(rows):
+            return
+        need = self.k
+        if self.exclude_self:  # rows of the query's id are met as well and left out below
+            ids, times = np.unique(value[~void], return_counts=True)
+            need += int(times[np.isin(ids, self.value)].max(initial=0))
+        found = [(self.row, self.dist, self.near, self.near_void)] if self.near is not None else []
+        square = (t * t).sum(1)
+        most = max(1, CELLS // max(1, t.shape[1]))
+        for at in range(0, len(rows), chunk):
+            r = rows[at : at + chunk]
+            part = q[r]
+            own = (part * part).sum(1)
+            i, c = self._shortlist(part, own, self.bound[r] ** 2, t, square, need)
+            if self.exclude_self:
+                other = (self.value[r[i]] != value[c]) | self.void[r[i]] | void[c]
+                i, c = i[other], c[other]
+            dist = np.empty(len(i))
+            for s in range(0, len(i), most):
+                piece = slice(s, s + most)
+                dist[piece] = np.sqrt(((part[i[piece]] - t[c[piece]]) ** 2).sum(1))
+            best, _ = self._best(i, dist, value[c], void[c])
+            found.append((r[i[best]], dist[best], value[c[best]], void[c[best]]))
+        each = [np.concatenate(c) for c in zip(*found)]
+        best, rank = self._best(*each)
+        self.row, self.dist, self.near, self.near_void = (c[best] for c in each)
+        last = rank == self.k - 1
+        self.bound[self.row[last]] = np.fmin(self.bound[self.row[last]], self.dist[last])
+
+    def _shortlist(self, part, own, limit, t, square, need):
+        """(query, train row) of all pairs within the limits of the squared distances, and few others.
+
+        Tight limits are tried in single precision, with its error added to them; where that leaves
+        many rows, and for wide limits, double precision decides.
+        """
+        size = own + square.max()
+        if 1e-20 < size.min() and size.max() < 1e30 and np.isfinite(limit).all():
+            slack = (t.shape[1] + 16) * 2.0**-22 * size
+            approx = part.astype(np.float32) @ (-2.0 * t.T).astype(np.float32)
+            approx += square.astype(np.float32)
+            hit = np.flatnonzero(approx <= (limit - own + slack).astype(np.float32)[:, None])
+            if len(hit) <= 2 * need * len(part):
+                return np.divmod(hit, len(t))
+        slack = 1e-12 * (1.0 + size)
+        approx = part @ (-2.0 * t.T)
+        approx += square
+        hit = approx <= (limit - own + slack)[:, None]
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * need)
+        if len(many) and need <= len(t):
+            kth = np.partition(approx[many], need - 1, axis=1)[:, need - 1]
+            hit[many] &= approx[many] <= (kth + 2 * slack[many])[:, None]
+        return np.divmod(np.flatnonzero(hit), len(t))
+
+    def _best(self, row, dist, near, near_void):
+        """(places, rank) of the k nearest of each query."""
+        order = np.lexsort((near, ~near_void, dist, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        keep = (rank < self.k) & np.isfinite(dist[order])
+        return order[keep], rank[keep]
+
+    def found(self, id_type: pa.DataType) -> pa.RecordBatch:
+        near = pa.nulls(0, id_type) if self.near is None else pa.array(self.near, mask=self.near_void).cast(id_type)
+        columns = [self.ids.take(pa.array(self.row)), near, pa.array(self.dist)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "neighbour", "dist"])
+
+
 def knn_join(
     queries: DataFrame,
     train: DataFrame,
@@ -84,106 +246,106 @@ def knn_join(
     pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
-    """(id, neighbour, dist, rank): the exact k nearest train rows of every query."""
+    """(id, neighbour, dist, rank): the exact k nearest train rows of every query.
+
+    Vectors with infinite or undefined numbers are no neighbours and have none.
+    """
+    spark = train.sparkSession
     train = train.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     queries = queries.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     id_type = dict(train.dtypes)["id"]
+    n_train, n_queries = train.count(), queries.count()
     if pivots is None:
-        pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.sqrt(train.count()))))
+        pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, math.sqrt(n_train))))
     # at most `pivots` vectors and `pivots * (k + 1)` distances reach the driver
     chosen = train.orderBy(seeded_hash(PIVOT_SEED, "id"), "id").limit(pivots).collect()
-    centres = np.array([r["vec"] for r in chosen])
+    if not chosen:
+        return spark.createDataFrame([], f"id {id_type}, neighbour {id_type}, dist double, rank int")
+    centres = np.array([r["vec"] for r in chosen], dtype=np.float64)
+    dim = centres.shape[1]
+    centres = np.where(np.isfinite(centres).all(1)[:, None], centres, 0.0)
     need = k + 1 if exclude_self else k
 
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for pdf in _pieces(batch, len(centres)):
-                d = _distances(_matrix(pdf["vec"]), centres)
-                yield pdf.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
+            for pdf in _pieces(batch, dim):
+                vecs = _matrix(pdf["vec"])
+                whole = np.isfinite(vecs).all(1)
+                yield pd.DataFrame({"id": pdf["id"][whole], "vec": _packed(vecs[whole])})
 
-    cells = stage(train.mapInPandas(to_cells, f"id {id_type}, vec array<double>, cell int, reach double"), "cells")
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in to_rows(batches):
+            for piece in _pieces(pdf, len(centres)):
+                d = _distances(_unpacked(_joined(piece["vec"].tolist()), len(piece), dim), centres)
+                yield piece.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
+
+    cells = stage(train.mapInPandas(to_cells, f"id {id_type}, vec binary, cell int, reach double"), "cells")
     closest = W.partitionBy("cell").orderBy("reach", "id")
-    inner = cells.select("cell", "reach", F.row_number().over(closest).alias("r")).filter(F.col("r") <= need)
+    inner = cells.select("id", "cell", "reach", F.row_number().over(closest).alias("r")).filter(F.col("r") <= need)
     inner = inner.collect()
-    sizes = cells.groupBy("cell").agg(F.max("reach").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    radius, count = np.full(len(centres), -1.0), np.zeros(len(centres), dtype=np.int64)
-    for r in sizes:
-        radius[r["cell"]], count[r["cell"]] = r["radius"], r["n"]
     near_cell = np.array([r["cell"] for r in inner], dtype=np.int64)
-    near_reach = np.array([r["reach"] for r in inner])
-    between = _distances(centres, centres)
-
-    def own_cell(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell): the nearest cell that has train rows."""
-        d = np.where(count > 0, _distances(_matrix(pdf["vec"]), centres), np.inf)
-        return np.arange(len(pdf)), d.argmin(1)
-
-    def other_cells(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) pairs beyond the own cell that the distance bounds cannot rule out."""
-        d = _distances(_matrix(pdf["vec"]), centres)
-        upper = d[:, near_cell] + near_reach[None, :]
-        enough = upper.shape[1] >= need
-        bound = np.partition(upper, need - 1, axis=1)[:, need - 1] if enough else np.full(len(d), np.inf)
-        bound = np.fmin(bound, pdf["bound"].to_numpy(float))
-        own = d.argmin(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (d**2 - d.min(1)[:, None] ** 2) / (2.0 * between[own])
-        lower = np.maximum(d - radius[None, :], np.where(between[own] > 0, plane, 0.0))
-        open_ = (lower <= bound[:, None] * (1 + 1e-9) + 1e-6) & (count > 0)[None, :]
-        open_[own_cell(pdf)] = False
-        return np.nonzero(open_)
-
-    def blocks(rows_in_cell):
-        return F.array(*[F.lit(max(1, -(-int(n) // block_rows))).cast("long") for n in rows_in_cell])
-
-    def upto(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": a["id"][:0], "neighbour": b["id"][:0], "dist": np.empty(0)})
-        qid, tid = a["id"].to_numpy(), b["id"].to_numpy()
-        r, c, dist = nearest_in_block(qid, _matrix(a["vec"]), tid, _matrix(b["vec"]), k, exclude_self)
-        return pd.DataFrame({"id": qid[r], "neighbour": tid[c], "dist": dist})
-
-    def compared(rows: DataFrame, cells_of) -> DataFrame:
-        """(id, neighbour, dist): up to k rows per query and block of a visited cell."""
-
-        def count_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n = np.zeros(len(centres), dtype=np.int64)
-            for batch in batches:
-                for pdf in _pieces(batch, max(len(centres), len(near_cell))):
-                    n += np.bincount(cells_of(pdf)[1], minlength=len(centres))
-            yield pd.DataFrame({"cell": np.arange(len(centres), dtype="int32"), "n": n})
-
-        def to_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for pdf in _pieces(batch, max(len(centres), len(near_cell))):
-                    r, c = cells_of(pdf)
-                    ids, vecs = pdf["id"].values, pdf["vec"].values
-                    for at in range(0, len(r), VISITS):
-                        row, cell = r[at : at + VISITS], c[at : at + VISITS]
-                        yield pd.DataFrame({"id": ids[row], "vec": vecs[row], "cell": cell.astype("int32")})
-
-        # counted first and found again below: cheaper than writing every visit with its vector
-        per_cell = rows.mapInPandas(count_visits, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        visited = {r["cell"]: r["n"] for r in per_cell.collect()}
-        visits = rows.mapInPandas(to_visits, f"id {id_type}, vec array<double>, cell int")
-        t_blocks = F.get(blocks(count), F.col("cell"))
-        q_blocks = F.get(blocks([visited.get(c, 0) for c in range(len(centres))]), F.col("cell"))
-        spread = F.xxhash64("id")
-        left = visits.withColumn("qb", F.pmod(spread, q_blocks)).withColumn("tb", upto(t_blocks))
-        right = cells.select("id", "vec", "cell").withColumn("tb", F.pmod(spread, t_blocks)).withColumn("qb", upto(q_blocks))
-        keys = ["cell", "tb", "qb"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            compare, f"id {id_type}, neighbour {id_type}, dist double"
-        )
-
+    near_reach = np.array([r["reach"] for r in inner], dtype=np.float64)
+    own: dict = {}  # places of an id in these lists
+    for i, r in enumerate(inner if exclude_self else []):
+        own.setdefault(r["id"], []).append(i)
+
+    def bounds(ids: list, vecs: np.ndarray) -> np.ndarray:
+        """Distance within which each query has k rows, by way of the pivots."""
+        out = np.full(len(ids), np.inf)
+        step = max(1, CELLS // max(1, len(near_cell)))
+        for at in range(0, len(ids) if len(near_cell) >= k else 0, step):
+            part = vecs[at : at + step]
+            upper = _distances(part, centres)[:, near_cell] + near_reach[None, :]
+            for i, x in enumerate(ids[at : at + step]):
+                upper[i, own.get(x, [])] = np.inf
+            scale = np.sqrt((part * part).sum(1) + (centres * centres).sum(1).max())
+            out[at : at + step] = np.partition(upper, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-6 * (1 + scale)
+        return out
+
+    def to_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, block_rows):
+            ids, vecs = table.column("id").combine_chunks(), table.column("vec").to_pylist()
+            far = bounds(ids.to_pylist() if own else [None] * len(ids), _unpacked(_joined(vecs), len(ids), dim))
+            yield _block(ids, vecs, far, ["id", "vec", "bound"])
+
+    def to_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, block_rows):
+            ids, vecs = table.column("id").combine_chunks(), table.column("vec").to_pylist()
+            use = _enough_copies(ids, vecs, k)
+            cell = table.column("cell").to_numpy()[use]
+            yield _block(ids.take(pa.array(use)), [vecs[i] for i in use], cell, ["t_id", "t_vec", "t_cell"])
+
+    def files(rows: int, blocks: int) -> int:
+        return max(1, min(FILES, -(-rows // (blocks * block_rows))))
+
+    held = cells.repartitionByRange(files(n_train, 4), "cell", "reach", "id").sortWithinPartitions("cell", "reach", "id")
+    held = stage(held.mapInArrow(to_held, f"t_id array<{id_type}>, t_vec binary, t_cell binary"), "held_blocks")
+    asked = queries.mapInPandas(to_rows, f"id {id_type}, vec binary").repartition(files(n_queries, 1))
+    asked = asked.mapInArrow(to_asked, f"id array<{id_type}>, vec binary, bound binary")
+    asked = stage(asked.withColumn("block", F.monotonically_increasing_id()), "asked_blocks")
+    unstage(cells)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, _Nearest] = {}
+        for batch in batches:
+            column = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                block, ids, t_ids = column["block"][i].as_py(), column["id"][i].values, column["t_id"][i].values
+                if block not in kept:
+                    if len(kept) >= HELD:
+                        yield kept.pop(next(iter(kept))).found(ids.type)
+                    far = np.frombuffer(column["bound"][i].as_buffer(), np.float64)
+                    kept[block] = _Nearest(ids, far, k, exclude_self)
+                q = _unpacked(column["vec"][i].as_buffer(), len(ids), dim)
+                t = _unpacked(column["t_vec"][i].as_buffer(), len(t_ids), dim)
+                kept[block].meet(q, t_ids, t, np.frombuffer(column["t_cell"][i].as_buffer(), np.int32))
+        for nearest in kept.values():
+            yield nearest.found(nearest.ids.type)
+
+    # a task gets neighbouring pairs, so that most of the pairs of a block of queries meet in it
+    pairs = asked.crossJoin(held).coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    found = pairs.mapInArrow(compare, f"id {id_type}, neighbour {id_type}, dist double")
     nearest = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
-    first = stage(compared(queries, own_cell).withColumn("rank", nearest).filter(F.col("rank") <= k), "own_cell")
-    bounds = first.filter(F.col("rank") == k).select("id", F.col("dist").alias("bound"))
-    rest = compared(queries.join(bounds, "id", "left"), other_cells)
-    found = first.drop("rank").unionByName(rest)
     return found.withColumn("rank", nearest).filter(F.col("rank") <= k)
 
 
