@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.operators.neighbours import nearest_in_block
+from tidemark.operators.neighbours import joined, nearest_in_block, packed, unpacked
 from tidemark.sources.staging import stage
 
 
@@ -75,15 +75,18 @@ def knn_buckets(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    x = np.array(pdf["vec"].tolist(), dtype=float) - middle
-                    found = bucket_of(x, planes, probes)
-                    yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "bucket": list(found)})
+                    x = np.array(pdf["vec"].tolist(), dtype=float)
+                    found = bucket_of(x - middle, planes, probes)
+                    yield pd.DataFrame({"id": pdf["id"], "vec": packed(x), "bucket": list(found)})
 
-        each = rows.mapInPandas(run, f"id {id_type}, vec array<double>, bucket array<long>")
-        return each.select("id", "vec", F.explode("bucket").alias("bucket"))
+        return rows.mapInPandas(run, f"id {id_type}, vec binary, bucket array<long>")
 
-    left = stage(hashed(queries, probes), "bucket_queries")
-    right = stage(hashed(train, 0), "bucket_rows")
+    def each_bucket(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "vec", F.explode("bucket").alias("bucket"))
+
+    # a vector is written once here, not once per bucket
+    left = each_bucket(stage(hashed(queries, probes), "bucket_queries"))
+    right = each_bucket(stage(hashed(train, 0), "bucket_rows"))
     sizes = right.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("tbs"))
     asked = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("qbs"))
     cuts = stage(sizes.join(asked, "bucket"), "bucket_sizes")  # buckets without a query or a row go here
@@ -101,7 +104,7 @@ def knn_buckets(
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "neighbour": b["id"][:0], "dist": np.empty(0)})
         qid, tid = a["id"].to_numpy(), b["id"].to_numpy()
-        q, t = (np.array(x["vec"].tolist(), dtype=float) for x in (a, b))
+        q, t = (unpacked(joined(x["vec"].tolist()), len(x), dim) for x in (a, b))
         r, c, dist = nearest_in_block(qid, q, tid, t, k, exclude_self)
         return pd.DataFrame({"id": qid[r], "neighbour": tid[c], "dist": dist})
 

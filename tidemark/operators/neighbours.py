@@ -80,7 +80,7 @@ def nearest_in_block(qid, q, tid, t, k: int, exclude_self: bool, chunk: int = 25
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
-def _packed(matrix: np.ndarray) -> list[bytes]:
+def packed(matrix: np.ndarray) -> list[bytes]:
     """Each row in 4 bytes a number if that loses nothing, otherwise in 8."""
     with np.errstate(over="ignore"):
         short = matrix.astype(np.float32)
@@ -88,13 +88,13 @@ def _packed(matrix: np.ndarray) -> list[bytes]:
     return [(short if e else matrix)[i].tobytes() for i, e in enumerate(exact)]
 
 
-def _joined(rows: list[bytes]) -> bytes:
+def joined(rows: list[bytes]) -> bytes:
     """Packed rows as one packed matrix."""
     width = max(map(len, rows))
     return b"".join(r if len(r) == width else np.frombuffer(r, np.float32).astype(np.float64).tobytes() for r in rows)
 
 
-def _unpacked(data, rows: int, dim: int) -> np.ndarray:
+def unpacked(data, rows: int, dim: int) -> np.ndarray:
     short = len(data) == 4 * rows * dim
     return np.frombuffer(data, np.float32 if short else np.float64).reshape(rows, dim).astype(np.float64)
 
@@ -117,7 +117,7 @@ def _runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
 
 def _block(ids: pa.Array, vecs: list[bytes], extra: np.ndarray, names: list[str]) -> pa.RecordBatch:
     """One row: all ids, their packed vectors, and a number for each."""
-    columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), [_joined(vecs)], [extra.tobytes()]]
+    columns = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), [joined(vecs)], [extra.tobytes()]]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.binary()) for c in columns], names)
 
 
@@ -271,12 +271,12 @@ def knn_join(
             for pdf in _pieces(batch, dim):
                 vecs = _matrix(pdf["vec"])
                 whole = np.isfinite(vecs).all(1)
-                yield pd.DataFrame({"id": pdf["id"][whole], "vec": _packed(vecs[whole])})
+                yield pd.DataFrame({"id": pdf["id"][whole], "vec": packed(vecs[whole])})
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in to_rows(batches):
             for piece in _pieces(pdf, len(centres)):
-                d = _distances(_unpacked(_joined(piece["vec"].tolist()), len(piece), dim), centres)
+                d = _distances(unpacked(joined(piece["vec"].tolist()), len(piece), dim), centres)
                 yield piece.assign(cell=d.argmin(1).astype("int32"), reach=d.min(1))
 
     cells = stage(train.mapInPandas(to_cells, f"id {id_type}, vec binary, cell int, reach double"), "cells")
@@ -305,7 +305,7 @@ def knn_join(
     def to_asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, block_rows):
             ids, vecs = table.column("id").combine_chunks(), table.column("vec").to_pylist()
-            far = bounds(ids.to_pylist() if own else [None] * len(ids), _unpacked(_joined(vecs), len(ids), dim))
+            far = bounds(ids.to_pylist() if own else [None] * len(ids), unpacked(joined(vecs), len(ids), dim))
             yield _block(ids, vecs, far, ["id", "vec", "bound"])
 
     def to_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +336,8 @@ def knn_join(
                         yield kept.pop(next(iter(kept))).found(ids.type)
                     far = np.frombuffer(column["bound"][i].as_buffer(), np.float64)
                     kept[block] = _Nearest(ids, far, k, exclude_self)
-                q = _unpacked(column["vec"][i].as_buffer(), len(ids), dim)
-                t = _unpacked(column["t_vec"][i].as_buffer(), len(t_ids), dim)
+                q = unpacked(column["vec"][i].as_buffer(), len(ids), dim)
+                t = unpacked(column["t_vec"][i].as_buffer(), len(t_ids), dim)
                 kept[block].meet(q, t_ids, t, np.frombuffer(column["t_cell"][i].as_buffer(), np.int32))
         for nearest in kept.values():
             yield nearest.found(nearest.ids.type)
