@@ -2,8 +2,8 @@
 
 Train rows are put in the cell of their nearest pivot; the number of pivots grows with the table. The
 pivots' nearest rows bound the k-th distance of every query. Both tables are packed into blocks of
-bounded size, train rows in the order of their cells, and written once: every block of queries then
-reads the train blocks where they lie, so no vector is written again for a pair of blocks. A task keeps the
+bounded size, train rows in the order of their cells. Groups of blocks meet pair by pair, so a vector is
+shuffled once per group of the other table, not once per cell it visits. A task keeps the
 k nearest rows so far of its queries; by the triangle inequality they rule out cells that cannot hold
 a nearer row, and numpy compares the rest. In many dimensions distances are alike and few cells can be ruled out.
 """
@@ -30,6 +30,7 @@ CELLS_OF_BLOCK = 256  # cells of a block that are ruled out one by one; of more,
 FILES = 4096  # most files of packed blocks
 HELD = 256  # blocks of queries whose nearest rows a task keeps at once
 TASKS_PER_CORE = 4
+GROUP_ROWS = 1 << 16  # rows of a group of blocks
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -319,7 +320,8 @@ def knn_join(
         return max(1, min(FILES, -(-rows // (blocks * block_rows))))
 
     held = cells.repartitionByRange(files(n_train, 4), "cell", "reach", "id").sortWithinPartitions("cell", "reach", "id")
-    held = stage(held.mapInArrow(to_held, f"t_id array<{id_type}>, t_vec binary, t_cell binary"), "held_blocks")
+    held = held.mapInArrow(to_held, f"t_id array<{id_type}>, t_vec binary, t_cell binary")
+    held = stage(held.withColumn("t_block", F.monotonically_increasing_id()), "held_blocks")
     asked = queries.mapInPandas(to_rows, f"id {id_type}, vec binary").repartition(files(n_queries, 1))
     asked = asked.mapInArrow(to_asked, f"id array<{id_type}>, vec binary, bound binary")
     asked = stage(asked.withColumn("block", F.monotonically_increasing_id()), "asked_blocks")
@@ -342,8 +344,19 @@ def knn_join(
         for nearest in kept.values():
             yield nearest.found(nearest.ids.type)
 
-    # a task gets neighbouring pairs, so that most of the pairs of a block of queries meet in it
-    pairs = asked.crossJoin(held).coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    # groups of blocks on both sides, met pair by pair: each table is shuffled once per group of the other
+    few = math.ceil(math.sqrt(TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+
+    def groups(rows: int) -> int:
+        return max(-(-rows // GROUP_ROWS), min(few, -(-rows // block_rows)), 1)
+
+    n, m = groups(n_queries), groups(n_train)
+    parts = min(n * m, FILES)
+    left = asked.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(n)))
+    left = left.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(parts, "g", "h")
+    right = held.withColumn("_h", F.pmod(F.xxhash64("t_block"), F.lit(m)).cast("int"))
+    right = right.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).repartition(parts, "_g", "_h")
+    pairs = left.join(right, (F.col("g") == F.col("_g")) & (F.col("h") == F.col("_h"))).drop("g", "h", "_g", "_h", "t_block")
     found = pairs.mapInArrow(compare, f"id {id_type}, neighbour {id_type}, dist double")
     nearest = F.row_number().over(W.partitionBy("id").orderBy("dist", "neighbour"))
     return found.withColumn("rank", nearest).filter(F.col("rank") <= k)
